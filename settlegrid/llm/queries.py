@@ -12,6 +12,7 @@ import corpus_pipeline
 from .common import read_table
 from .exact_dedup import exact_duplicates
 from .mixing import mix_counts
+from .near_dup import near_duplicates
 from .sharding import shard_rows
 
 SHARDS = 40
@@ -31,6 +32,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_exact_dedup": op2_exact_dedup,
         "op5_sharding": op5_sharding,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 
