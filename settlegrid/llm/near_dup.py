@@ -12,9 +12,10 @@ How it stays whole and bounded:
   would meet; runs of three are shared by those that are alike around the passage too. Two sets with similarity t share a
   run of three among 64 values but for a chance under 1e-9 at t = 0.8 and 3e-13 at 0.85; for sets up to 125 shingles at
   0.85 it is certain, because the union holds fewer differences than its runs need.
-* In a list everyone is first compared with two of its members only (the least and the greatest class). Pairs are then
-  made only across components, and only where the triangle inequality of the Jaccard distance, seen from the list's
-  leader, leaves the similarity open. No list is capped or dropped.
+* In a list everyone is first compared with its least class, the leader. Lists with the same leader are then one group;
+  groups whose members are all linked by now are done. In the others, pairs are made across components only: in SQL where
+  a group is small, else in blocks of two hundred or so that compare their sketches as matrices and return what may link.
+  No list is capped or dropped, no group meets in one task, and copies already linked don't meet again.
 """
 
 from __future__ import annotations
@@ -25,20 +26,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
 
-SKETCH = 64
+#: Values retained per document. Sets up to this size are retained whole.
+SKETCH = 256
+#: The least values from which the keys of inverted lists are made, and how many of them make a key.
+KEYED = 64
 RUN = 3
+#: Groups up to this size make their pairs in SQL, larger ones in blocks of about BLOCK members.
+SMALL = 24
+BLOCK = 200
 #: Bits of the id filter that is sent to all tasks: 8 MB at most, whatever the input.
 FILTER_BITS = 1 << 26
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 60_000
 
 
 class _WordHashes(dict):
@@ -90,8 +97,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, *, size: int = SKETCH,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -122,8 +129,40 @@ def keep_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return rows.where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_p) % 8 as int))")) != 0).select(*docs.columns)
 
 
-def similar_size(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
+def likely_pairs(group: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a block (``side, cls, part, n, sketch``) that may link; each pair once.
+
+    Both sides hold members of one group; the sides are the same block where
+    all rows say ``side = 0``. Common values are counted by a product of 0/1
+    matrices. Two whole sets are compared exactly, others on the range that both
+    sketches cover, with six standard deviations to spare.
+    """
+    side, cls, part, size = (group.column(c).to_numpy() for c in ("side", "cls", "part", "n"))
+    arrays = [np.asarray(x) for x in group.column("sketch").to_pylist()]
+    first = np.flatnonzero(side == 0)
+    second = np.flatnonzero(side == 1) if (side == 1).any() else first
+    owner = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+    values, column, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    slot = np.cumsum(counts > 1) - 1
+    held = np.zeros((len(arrays), max(1, int((counts > 1).sum()))), np.float32)
+    held[owner[shared], slot[column[shared]]] = 1
+    common = held[first] @ held[second].T
+    top = np.array([x[-1] if n > len(x) else np.iinfo(np.int64).max for x, n in zip(arrays, size)])
+    seen = np.array([np.searchsorted(x, top, side="right") for x in arrays])
+    mine = np.where(top[first][:, None] <= top[second][None, :], seen[first, first][:, None], seen[np.ix_(first, second)])
+    theirs = np.where(top[second][None, :] <= top[first][:, None], seen[second, second][None, :], seen[np.ix_(second, first)].T)
+    share = common / np.maximum(mine + theirs - common, 1)
+    whole = np.array([n <= len(x) for x, n in zip(arrays, size)])
+    t = percent / 100
+    least = np.where(whole[first][:, None] & whole[second][None, :], t - 1e-6, t - 6 * math.sqrt(t * (1 - t) / SKETCH))
+    small, large = np.minimum(size[first][:, None], size[second][None, :]), np.maximum(size[first][:, None], size[second][None, :])
+    open_ = (share >= least) & (part[first][:, None] != part[second][None, :]) & (small * 100 >= large * percent)
+    if second is first:
+        open_ &= cls[first][:, None] < cls[second][None, :]
+    x, y = np.nonzero(open_)
+    x, y = cls[first][x], cls[second][y]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
 class _Job:
@@ -132,77 +171,96 @@ class _Job:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int):
         self.docs, self.id_col, self.text_col, self.percent, self.width = docs, id_col, text_col, percent, width
         rows = sketches(docs, id_col, text_col, width=width).withColumn("row", F.monotonically_increasing_id())
-        self.rows = materialize(rows, "sketches")
-        some = self.rows.where("n_shingles > 0 and doc_id is not null")
-        classes = some.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.min("row").alias("row"))
-        self.classes = materialize(classes, "classes")
-        self.nodes = some.join(self.classes.select("row"), "row", "left_semi")
-
-    def members(self) -> DataFrame:
-        """Entries of the inverted lists with two classes or more: ``key, cls, n, low, high``."""
-        runs = F.expr(f"transform(sequence(1, greatest(1, size(sketch) - {RUN - 1})), i -> xxhash64(slice(sketch, i, {RUN})))")
-        keys = self.nodes.select("cls", F.col("n_shingles").alias("n"), F.explode(F.array_distinct(runs)).alias("key"))
-        lists = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+        head, tail = F.expr(f"slice(sketch, 1, {KEYED})").alias("head"), F.expr(f"slice(sketch, {KEYED + 1}, {SKETCH})").alias("tail")
+        self.rows = materialize(rows.select("row", "doc_id", "n_shingles", "cls", head, tail), "sketches")
+        self.some = self.rows.where("n_shingles > 0 and doc_id is not null")
+        self.classes = materialize(self.some.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.min("row").alias("row")), "classes")
+
+    def groups(self) -> DataFrame:
+        """``lead, cls``: for every inverted list of two classes or more, its members by its least class."""
+        heads = self.some.select("row", "cls", "head").join(self.classes.select("row"), "row", "left_semi")
+        runs = F.expr(f"transform(sequence(1, greatest(1, size(head) - {RUN - 1})), i -> xxhash64(slice(head, i, {RUN})))")
+        keys = heads.select("cls", F.explode(F.array_distinct(runs)).alias("key"))
+        lists = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("_high")).where("lead < _high").select("key", "lead")
         lists = materialize(lists, "lists")
-        return materialize(keys.join(lists, "key"), "members")
+        return materialize(keys.join(lists, "key").select("lead", "cls").distinct(), "groups")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, n_a, n_b, common`` of the pairs that pass the estimate, with the exact intersection of their full sets.
+    def candidates(self, groups: DataFrame) -> DataFrame:
+        """``cls, n, sketch`` of the classes in ``groups``."""
+        wanted = materialize(groups.select("cls").distinct().join(self.classes, "cls").select(F.col("row").alias("id")), "wanted")
+        rows = keep_ids(self.some, "row", wanted).join(wanted.withColumnRenamed("id", "row"), "row", "left_semi")
+        return materialize(rows.select("cls", F.col("n_shingles").alias("n"), F.concat("head", "tail").alias("sketch")), "candidates")
 
-        ``pairs`` has ``a, b``. The estimate is the share of common values among
-        the least of the union; a pair goes if that is more than six standard
-        deviations below the threshold. Where a sketch holds the whole set the estimate is exact.
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that the union of their sketches leaves open.
+
+        The estimate is the share of common values among the least of the union;
+        a pair goes if that is more than six standard deviations below the
+        threshold. Where both sketches hold whole sets the share is exact.
         """
-        pairs = materialize(pairs, "pairs")
-        held = self.nodes.select("cls", "n_shingles", "sketch")
-        left = held.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-        right = held.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-        met = pairs.join(left, "a").join(right, "b")
-        union = F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {SKETCH})")
-        met = met.withColumn("u", union)
-        share = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u")) / F.size("u")
+        left = self.held.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+        right = self.held.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+        met = pairs.join(left, "a").join(right, "b").where((F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * self.percent))
+        # Of each sketch, what is in the range that both cover; no array of the union has to be sorted.
+        low = F.least(*(F.when(F.col(f"n_{x}") > F.size(f"s_{x}"), F.element_at(f"s_{x}", -1)).otherwise(F.lit(2**63 - 1)) for x in "ab"))
+        met = met.withColumn("low", low).withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+        union = F.expr("size(filter(s_a, v -> v <= low)) + size(filter(s_b, v -> v <= low))") - F.col("common")
         t = self.percent / 100
-        met = met.where(share >= t - 6 * math.sqrt(t * (1 - t) / SKETCH)).select("a", "b", "n_a", "n_b")
-        met = materialize(met, "likely")
-        needed = met.select(F.col("a").alias("cls")).union(met.select(F.col("b").alias("cls"))).distinct()
-        needed = materialize(needed.join(self.classes, "cls").select("cls", F.col("min_id").alias("id")), "needed")
-        docs = keep_ids(self.docs.select(self.id_col, self.text_col), self.id_col, needed)
-        sets = sketches(docs, self.id_col, self.text_col, width=self.width, full=True).select(F.col("doc_id").alias("id"), "cls", F.col("sketch").alias("shingles"))
-        sets = materialize(sets.join(needed.withColumnRenamed("cls", "want").withColumnRenamed("id", "want_id"), (F.col("id") == F.col("want_id")) & (F.col("cls") == F.col("want"))).dropDuplicates(["cls"]).select("cls", "shingles"), "sets")
-        both = met.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-        found = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-        return materialize(found, "verified")
+        whole = F.col("low") == F.lit(2**63 - 1)
+        least = F.when(whole, F.lit(t - 1e-6)).otherwise(F.lit(t - 6 * math.sqrt(t * (1 - t) / SKETCH)))
+        return met.where(F.col("common") / F.greatest(union, F.lit(1)) >= least).select("a", "b")
 
-    def linked(self, verified: DataFrame) -> DataFrame:
-        return verified.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * self.percent).select("a", "b")
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose full sets, made anew from the texts, are similar enough."""
+        pairs = materialize(pairs, "pairs")
+        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        needed = materialize(needed.join(self.classes, "cls").select(F.col("cls").alias("want"), F.col("min_id").alias("id")), "needed")
+        docs = keep_ids(self.docs.select(self.id_col, self.text_col), self.id_col, needed)
+        sets = sketches(docs, self.id_col, self.text_col, width=self.width, full=True).select("doc_id", "cls", F.col("sketch").alias("shingles"))
+        sets = sets.join(needed, (F.col("doc_id") == F.col("id")) & (F.col("cls") == F.col("want")))
+        sets = materialize(sets.dropDuplicates(["cls"]).select("cls", "shingles"), "sets")
+        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        found = both.where(common * 100 >= (F.size("x") + F.size("y") - common) * self.percent)
+        return materialize(found.select("a", "b"), "links")
 
     def links(self) -> DataFrame:
         """Links between classes whose components are those of all links."""
-        members = self.members()
-        # Each member meets the least and the greatest class of its list.
-        stars = members.select(F.explode(F.array("low", "high")).alias("lead"), "cls", "n").where("lead <> cls").distinct()
-        sizes = self.nodes.select(F.col("cls").alias("lead"), F.col("n_shingles").alias("n_lead"))
-        stars = stars.join(sizes, "lead").where(similar_size("n", "n_lead", self.percent))
-        first = self.verify(stars.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct())
-        edges = self.linked(first)
-        parts = components(edges)
-        # Lists that still hold several components: everyone outside the largest one meets the others.
-        placed = members.join(parts.withColumnRenamed("v", "cls"), "cls", "left").withColumn("part", F.coalesce("root", "cls")).drop("root")
-        counts = placed.groupBy("key", "part").agg(F.count("*").alias("n_part"))
-        mixed = counts.groupBy("key").agg(F.max(F.struct("n_part", "part")).alias("most"), F.count("*").alias("n_parts")).where("n_parts > 1").select("key", F.col("most.part").alias("main"))
-        distance = F.lit(1.0) - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-        away = first.select("a", "b", distance.alias("away"))
-        away = away.union(away.select(F.col("b").alias("a"), F.col("a").alias("b"), "away")).select(F.col("a").alias("low"), F.col("b").alias("cls"), "away")
-        placed = placed.join(materialize(mixed, "mixed"), "key").join(away, ["low", "cls"], "left")
-        placed = placed.withColumn("away", F.when(F.col("cls") == F.col("low"), F.lit(0.0)).otherwise(F.col("away")))
-        placed = materialize(placed.select("key", "cls", "n", "part", "away", (F.col("part") != F.col("main")).alias("minor")), "placed")
-        one = placed.where("minor").select("key", F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("part").alias("p1"), F.col("away").alias("d1"))
-        two = placed.select("key", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("part").alias("p2"), F.col("away").alias("d2"), F.col("minor").alias("m2"))
-        open_ = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= (1 - self.percent / 100) + 1e-9, F.lit(True))
-        rest = one.join(two, "key").where((F.col("p1") != F.col("p2")) & (~F.col("m2") | (F.col("c1") < F.col("c2"))) & similar_size("n1", "n2", self.percent) & open_)
-        rest = rest.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
-        rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-        return edges.union(self.linked(self.verify(rest)))
+        groups = self.groups()
+        self.held = self.candidates(groups)
+        stars = groups.where("lead <> cls").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
+        edges = self.linked(self.estimated(stars))
+        parts = components(edges).withColumnRenamed("v", "cls")
+        placed = groups.join(parts, "cls", "left").select("lead", "cls", F.coalesce("root", "cls").alias("part"))
+        placed = materialize(placed, "placed")
+        counts = placed.groupBy("lead", "part").agg(F.count("*").alias("n_part"))
+        mixed = counts.groupBy("lead").agg(F.max(F.struct("n_part", "part")).alias("most"), F.count("*").alias("n_parts"), F.sum("n_part").alias("n_all")).where("n_parts > 1")
+        mixed = materialize(mixed.select("lead", F.col("most.part").alias("main"), F.col("most.n_part").alias("n_main"), "n_all"), "mixed")
+        placed = materialize(placed.join(mixed, "lead").withColumn("minor", F.col("part") != F.col("main")), "open")
+
+        small = placed.where(F.col("n_all") <= SMALL)
+        one = small.where("minor").select("lead", F.col("cls").alias("c1"), F.col("part").alias("p1"))
+        two = small.select("lead", F.col("cls").alias("c2"), F.col("part").alias("p2"), F.col("minor").alias("m2"))
+        rest = one.join(two, "lead").where("p1 <> p2 and (not m2 or c1 < c2) and c1 <> lead and c2 <> lead")
+        rest = self.estimated(materialize(rest.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "rest"))
+
+        # Minor and main members have blocks of their own; blocks of two main members need not meet.
+        large = placed.where(F.col("n_all") > SMALL)
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        large = large.withColumn("of_minor", blocks(F.col("n_all") - F.col("n_main"))).withColumn("of_main", blocks(F.col("n_main")))
+        own = F.pmod(F.xxhash64("cls"), F.when(F.col("minor"), F.col("of_minor")).otherwise(F.col("of_main"))).cast("int")
+        large = large.withColumn("own", own)
+        meets = F.expr(
+            """CASE WHEN minor THEN concat(
+                 transform(sequence(0, of_minor - 1), j -> named_struct('i', least(own, j), 'j', greatest(own, j), 'side', if(own <= j, 0, 1))),
+                 transform(sequence(0, of_main - 1), j -> named_struct('i', own, 'j', of_minor + j, 'side', 0)))
+               ELSE transform(sequence(0, of_minor - 1), i -> named_struct('i', i, 'j', of_minor + own, 'side', 1)) END"""
+        )
+        large = large.join(self.held, "cls").select("lead", "cls", "part", "n", "sketch", F.explode(meets).alias("m"))
+        large = large.select("lead", F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), "cls", "part", "n", "sketch")
+        percent = self.percent
+        large = large.groupBy("lead", "i", "j").applyInArrow(lambda group: likely_pairs(group, percent), "a long, b long").distinct()
+        return edges.union(self.linked(rest.union(large).distinct()))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
