@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,33 @@ def uniform(seed: int, *columns: str) -> Column:
     key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns), F.lit(str(seed)))
     bits = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(float(2**48))
+
+
+def held_out(id_col: str, modulus: int, remainder: int) -> Column:
+    """Whether the CRC-32 of the id, as text, has that remainder. A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *, id_col: str = "doc_id", text_col: str = "text", modulus: int, remainder: int, seed: int = 11) -> DataFrame:
+    """``doc_id, text, label`` of at most ``rows`` labelled documents that aren't held out.
+
+    The rows with the least draws of the id are taken, so a larger table gives
+    as many. Ids are chosen before texts are read; the few chosen ids are
+    joined by broadcast, their number being the bound.
+    """
+    usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder))
+    usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("label"))
+    usable = usable.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
+    chosen = usable.withColumn("_draw", uniform(seed, "_id")).orderBy("_draw", "_id").limit(rows)
+    chosen = materialize(chosen.select("_id", "label", "_draw"), "chosen")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return found.select("doc_id", "text", F.col("label").cast("int").alias("label"))
+
+
+def send(df: DataFrame, model):
+    """Broadcast a fitted model (of a size fixed by its parameters) to the tasks; ``receive`` opens it there."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def receive(sent):
+    return pickle.loads(sent.value)

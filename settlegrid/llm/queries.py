@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from .common import read_table
+from .common import held_out, read_table
 from .exact_dedup import exact_duplicates
 from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .sharding import shard_rows
+from .toxicity import toxicity, train_on
 
 SHARDS = 40
 
@@ -36,6 +37,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_on(docs, read_table(spark, sf_dir, "labels"), modulus=3, remainder=1)
+    return toxicity(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -95,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_exact_dedup": op2_exact_dedup,
         "op5_sharding": op5_sharding,
+        "op6_toxicity": op6_toxicity,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
