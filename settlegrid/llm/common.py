@@ -73,7 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *
     chosen = usable.withColumn("_draw", uniform(seed, "_id")).orderBy("_draw", "_id").limit(rows)
     chosen = materialize(chosen.select("_id", "label", "_draw"), "chosen")
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return found.select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    return found.select("doc_id", "text", "label")
 
 
 def send(df: DataFrame, model):

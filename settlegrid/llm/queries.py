@@ -11,8 +11,12 @@ import corpus_pipeline
 
 from .common import held_out, read_table
 from .exact_dedup import exact_duplicates
+from .language import identify
+from .language import train_on as learn_languages
 from .mixing import mix_counts
 from .near_dup import near_duplicates
+from .quality import quality
+from .quality import train_on as learn_quality
 from .sharding import shard_rows
 from .toxicity import toxicity, train_on
 
@@ -43,6 +47,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = learn_languages(docs, modulus=5, remainder=0)
+    return identify(docs, profiles).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = learn_quality(docs, read_table(spark, sf_dir, "labels"), modulus=5, remainder=0)
+    return quality(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -103,6 +119,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
+        "op8_language_id": op8_language_id,
+        "op10_quality": op10_quality,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 

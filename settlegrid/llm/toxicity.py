@@ -206,7 +206,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, steps: int = 3000) -> tupl
 def train_on(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", modulus: int, remainder: int) -> SubwordSoftmax:
     sample = labelled_sample(docs, labels, label, TRAINING_ROWS, id_col=id_col, text_col=text_col, modulus=modulus, remainder=remainder)
     sample = sample.withColumn("draw", uniform(13, "doc_id")).withColumn("so_far", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy("draw", "doc_id", "text")))
-    rows = sample.where(F.col("so_far") <= TRAINING_CHARACTERS).orderBy("so_far", "doc_id").select("text", "label").toArrow()
+    rows = sample.where(F.col("so_far") <= TRAINING_CHARACTERS).orderBy("so_far", "doc_id").select("text", F.col("label").cast("int").alias("label")).toArrow()
     return train(rows.column("text").to_pylist(), rows.column("label").to_numpy())
 
 
