@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from .common import held_out, read_table
+from .decontam import contaminated
 from .exact_dedup import exact_duplicates
 from .language import identify
 from .language import train_on as learn_languages
@@ -19,6 +20,8 @@ from .quality import quality
 from .quality import train_on as learn_quality
 from .sharding import shard_rows
 from .toxicity import toxicity, train_on
+from .url_filter import judge
+from .url_filter import train as learn_urls
 
 SHARDS = 40
 
@@ -59,6 +62,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "pages"), learn_urls(spark))
+
+
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -117,6 +128,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_decontamination": op3_decontamination,
+        "op7_url_filter": op7_url_filter,
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
         "op8_language_id": op8_language_id,
