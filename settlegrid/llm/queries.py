@@ -19,6 +19,7 @@ from .near_dup import near_duplicates
 from .quality import quality
 from .quality import train_on as learn_quality
 from .sharding import shard_rows
+from .token_counts import Tokenizer, token_counts
 from .toxicity import toxicity, train_on
 from .url_filter import judge
 from .url_filter import train as learn_urls
@@ -70,6 +71,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"), learn_urls(spark))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(read_table(spark, sf_dir, "documents"), Tokenizer.load(public_tokenizers.path("word_bpe_49k.json")))
+
+
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -130,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_decontamination": op3_decontamination,
         "op7_url_filter": op7_url_filter,
+        "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
         "op8_language_id": op8_language_id,
