@@ -133,6 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_mixing": op1_mixing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_decontamination": op3_decontamination,
