@@ -41,9 +41,14 @@ def words(text: str) -> Column:
 
 
 def shingles(column: str, width: int) -> Column:
-    """Hashes of the ``width``-word shingles of an array of words, in order."""
-    parts = ", ".join(f"get({column}, i + {k})" for k in range(width))
-    return F.expr(f"if(size({column}) < {width}, array(), transform(sequence(0, size({column}) - {width}), i -> xxhash64({width}, {parts})))")
+    """Hashes of the ``width``-word shingles of an array of words, in order.
+
+    The words are bound to a variable of an outer lambda, so that what makes
+    them runs once per row and not once per shingle, however projections merge.
+    """
+    parts = ", ".join(f"get(w, i + {k})" for k in range(width))
+    each = f"if(size(w) < {width}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {width}), i -> xxhash64({width}, {parts})))"
+    return F.expr(f"transform(array({column}), w -> {each})[0]")
 
 
 def simhash(hashes: str) -> Column:
@@ -112,8 +117,8 @@ def contaminated(
     rows = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("w"))
     anchors = None
     for width in sorted(widths):
-        spread = rows.select("doc_id", F.size("w").alias("n"), shingles("w", width).alias("h"))
-        spread = spread.select("doc_id", "n", F.posexplode("h").alias("pos", "hash"))
+        spread = rows.select("doc_id", shingles("w", width).alias("h"))
+        spread = spread.select("doc_id", (F.size("h") + width - 1).alias("n"), F.posexplode_outer("h").alias("pos", "hash"))
         met = spread.join(grams.where(F.col("width") == width).drop("width"), "hash").select("doc_id", "n", "pos", "item_id", "n_words", F.lit(width).alias("width"))
         anchors = met if anchors is None else anchors.unionByName(met)
     if anchors is None:
