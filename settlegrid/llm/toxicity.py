@@ -38,6 +38,8 @@ TRAINING_CHARACTERS = 40_000_000
 WINDOW = 3
 REPEAT = 8
 ROUNDS = 3
+#: Weight of texts without known n-grams in each batch.
+UNKNOWN = 0.3
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 _WORDS_KEPT = 200_000
@@ -46,8 +48,8 @@ _WORDS_KEPT = 200_000
 def subwords(word: str, buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the word itself and of its character n-grams, with marks at both ends."""
     marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
-    return np.fromiter((xxhash.xxh32_intdigest(g) % buckets for g in sorted(grams)), np.int64, len(grams))
+    grams = dict.fromkeys([marked, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))])
+    return np.fromiter(map(xxhash.xxh32_intdigest, grams), np.int64, len(grams)) % buckets
 
 
 class _Words(dict):
@@ -64,10 +66,42 @@ class _Words(dict):
         return value
 
 
+class _Gains(dict):
+    """Number of a word, with what its n-grams add to a window and how many they are in arrays by number."""
+
+    def __init__(self, gain: np.ndarray):
+        super().__init__()
+        self.gain = gain
+        self.sums, self.counts = np.zeros(_WORDS_KEPT), np.zeros(_WORDS_KEPT)
+
+    def __missing__(self, word: str) -> int:
+        number = len(self)
+        found = subwords(word, len(self.gain))
+        self.sums[number], self.counts[number] = self.gain[found].sum(), len(found)
+        self[word] = number
+        return number
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words; one that stood within the last ``REPEAT`` words is left out, so that repetition adds nothing."""
+        if len(self) + len(words) > len(self.sums):
+            self.clear()
+            if len(words) > len(self.sums):
+                self.sums, self.counts = np.zeros(len(words)), np.zeros(len(words))
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        again = np.zeros(len(found), bool)
+        for k in range(1, min(REPEAT + 1, len(found))):
+            again[k:] |= found[k:] == found[:-k]
+        return found[~again]
+
+
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words; one that stood within the last ``REPEAT`` words is left out, so that repetition adds nothing."""
+    return _WORD.findall((text or "").lower())
+
+
+def without_repeats(words: list[str]) -> list[str]:
+    """The words that ``_Gains.numbers`` keeps."""
     kept, last = [], {}
-    for i, word in enumerate(_WORD.findall((text or "").lower())):
+    for i, word in enumerate(words):
         if i - last.get(word, -REPEAT - 1) > REPEAT:
             kept.append(word)
         last[word] = i
@@ -91,32 +125,30 @@ class SubwordSoftmax:
     slope: float = 1.0
     shift: float = 0.0
 
-    def word_gains(self) -> _Words:
-        def make(word: str) -> tuple[float, int]:
-            found = subwords(word, len(self.gain))
-            return float(self.gain[found].sum()), len(found)
-
-        return _Words(make)
+    def word_gains(self) -> _Gains:
+        return _Gains(self.gain)
 
-    def windows(self, words: list[str], gains: _Words) -> np.ndarray:
+    def windows(self, words: list[str], gains: _Gains) -> np.ndarray:
         """Logit of every window of ``WINDOW`` words; one window if there are fewer."""
         if not words:
             return np.array([self.bias])
-        values = np.array([gains[w] for w in words], np.float64)
-        if len(words) > WINDOW:
-            values = np.lib.stride_tricks.sliding_window_view(values, WINDOW, axis=0).sum(-1)
-        else:
-            values = values.sum(0, keepdims=True)
-        return self.bias + values[:, 0] / values[:, 1]
+        numbers = gains.numbers(words)
+        sums, counts = gains.sums[numbers], gains.counts[numbers]
+        width = min(WINDOW, len(numbers))
+        count = len(numbers) - width + 1
+        sums = sum(sums[k : k + count] for k in range(width))
+        return self.bias + sums / sum(counts[k : k + count] for k in range(width))
 
     def probability(self, logit: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -40, 40))))
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 7) -> SubwordSoftmax:
-    """Train n-gram vectors and the softmax jointly. Classes weigh the same in the loss.
+    """Train n-gram vectors and the softmax jointly.
 
-    With labels of one class only, every text gets that class's share, smoothed.
+    N-grams never seen add nothing, and every batch has a share of texts without
+    known n-grams, not toxic, so that a text of unknown words isn't judged toxic
+    for the lack of calm ones. With labels of one class only, every text gets that class's share, smoothed.
     """
     labels = np.asarray(labels, np.int64)
     kept = [i for i, (b, _) in enumerate(bags) if len(b)]
@@ -128,6 +160,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bucket
     vectors = draw.normal(0, 0.1, (buckets, dimensions)).astype(np.float32)
     weights = draw.normal(0, 0.5, (dimensions, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
+    seen = np.zeros(buckets, bool)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, weights, bias)]
     step = 0
     for _ in range(epochs):
@@ -147,24 +180,26 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bucket
             delta = p.copy()
             delta[np.arange(len(rows)), labels[rows]] -= 1
             delta /= len(rows)
+            unknown = UNKNOWN * (np.exp(bias) / np.exp(bias).sum() - np.array([1, 0]))
             d_mean = 20 * delta @ weights.T
             unique, inverse = np.unique(index, return_inverse=True)
+            seen[unique] = True
             d_vectors = np.zeros((len(unique), dimensions), np.float32)
             spread = d_mean[owner] * share[:, None]
             for d in range(dimensions):
                 d_vectors[:, d] = np.bincount(inverse, spread[:, d], len(unique))
-            for (first, second), value, gradient, at in ((state[0], vectors, d_vectors, unique), (state[1], weights, 20 * mean.T @ delta, ...), (state[2], bias, delta.sum(0), ...)):
+            for (first, second), value, gradient, at in ((state[0], vectors, d_vectors, unique), (state[1], weights, 20 * mean.T @ delta, ...), (state[2], bias, delta.sum(0) + unknown, ...)):
                 first[at] = 0.9 * first[at] + 0.1 * gradient
                 second[at] = 0.99 * second[at] + 0.01 * gradient**2
                 value[at] -= rate * (first[at] / (1 - 0.9**step)) / (np.sqrt(second[at] / (1 - 0.99**step)) + 1e-8)
     difference = weights[:, 1] - weights[:, 0]
-    return SubwordSoftmax(20 * vectors @ difference, float(bias[1] - bias[0]))
+    return SubwordSoftmax(np.where(seen, 20 * vectors @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = ROUNDS) -> SubwordSoftmax:
     """Fit on whole texts, refit on top windows, calibrate on every fifth row."""
     labels = np.asarray(labels, np.int64)
-    words, cache = [words_of(t) for t in texts], _Words(subwords)
+    words, cache = [without_repeats(words_of(t)) for t in texts], _Words(subwords)
     fitted = np.arange(len(texts)) % 5 != 4
     rows = np.flatnonzero(fitted)
     model = fit([bag(words[i], cache) for i in rows], labels[rows])
