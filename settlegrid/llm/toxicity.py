@@ -17,7 +17,8 @@ training turns the top window's logit into a probability.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,18 +53,54 @@ def subwords(word: str, buckets: int = BUCKETS) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh32_intdigest, grams), np.int64, len(grams)) % buckets
 
 
-class _Words(dict):
-    """A value per word, made once by ``make``; forgotten as a whole when there are too many."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        value = self[word] = self.make(word)
-        return value
+class _Lexicon:
+    """Numbers for the words of training texts, and the buckets of each word in one flat array."""
+
+    def __init__(self, buckets: int = BUCKETS):
+        self.buckets, self.number, self.flat, self.starts = buckets, {}, array("i"), array("q", [0])
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's words without those repeated within ``REPEAT`` words."""
+        words = words_of(text)
+        for word in words:
+            if word not in self.number:
+                self.number[word] = len(self.number)
+                self.flat.extend(subwords(word, self.buckets).tolist())
+                self.starts.append(len(self.flat))
+        return without_repeats(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+
+    def bag(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct buckets of some words and their counts."""
+        if not len(numbers):
+            return np.empty(0, np.int32), np.empty(0, np.int32)
+        flat = np.frombuffer(self.flat, np.int32)
+        found, counts = np.unique(np.concatenate([flat[self.starts[n] : self.starts[n + 1]] for n in numbers.tolist()]), return_counts=True)
+        return found, counts.astype(np.int32)
+
+    def gains(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By word number, the summed gain of its buckets and how many they are."""
+        starts = np.frombuffer(self.starts, np.int64)
+        if len(starts) < 2:
+            return np.zeros(0), np.zeros(0)
+        return np.add.reduceat(gain[np.frombuffer(self.flat, np.int32)].astype(np.float64), starts[:-1]), np.diff(starts).astype(np.float64)
+
+
+def without_repeats(numbers: np.ndarray) -> np.ndarray:
+    """Without the numbers that stood within the last ``REPEAT`` places, so that repetition adds nothing."""
+    again = np.zeros(len(numbers), bool)
+    for k in range(1, min(REPEAT + 1, len(numbers))):
+        again[k:] |= numbers[k:] == numbers[:-k]
+    return numbers[~again]
+
+
+def window_means(numbers: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean gain of every window of ``WINDOW`` words; one window if there are fewer."""
+    if not len(numbers):
+        return np.zeros(1)
+    sums, counts = sums[numbers], counts[numbers]
+    width = min(WINDOW, len(numbers))
+    count = len(numbers) - width + 1
+    return sum(sums[k : k + count] for k in range(width)) / sum(counts[k : k + count] for k in range(width))
 
 
 class _Gains(dict):
@@ -82,40 +119,17 @@ class _Gains(dict):
         return number
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words; one that stood within the last ``REPEAT`` words is left out, so that repetition adds nothing."""
         if len(self) + len(words) > len(self.sums):
             self.clear()
             if len(words) > len(self.sums):
                 self.sums, self.counts = np.zeros(len(words)), np.zeros(len(words))
-        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        again = np.zeros(len(found), bool)
-        for k in range(1, min(REPEAT + 1, len(found))):
-            again[k:] |= found[k:] == found[:-k]
-        return found[~again]
+        return without_repeats(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def without_repeats(words: list[str]) -> list[str]:
-    """The words that ``_Gains.numbers`` keeps."""
-    kept, last = [], {}
-    for i, word in enumerate(words):
-        if i - last.get(word, -REPEAT - 1) > REPEAT:
-            kept.append(word)
-        last[word] = i
-    return kept
-
-
-def bag(words: list[str], cache: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of words and their counts."""
-    if not words:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
-    found, counts = np.unique(np.concatenate([cache[w] for w in words]), return_counts=True)
-    return found.astype(np.int32), counts.astype(np.int32)
-
-
 @dataclass
 class SubwordSoftmax:
     """``gain[b]`` is what bucket ``b`` adds to the logit of an average, ``bias`` what every text has; ``slope`` and ``shift`` calibrate."""
@@ -129,15 +143,8 @@ class SubwordSoftmax:
         return _Gains(self.gain)
 
     def windows(self, words: list[str], gains: _Gains) -> np.ndarray:
-        """Logit of every window of ``WINDOW`` words; one window if there are fewer."""
-        if not words:
-            return np.array([self.bias])
-        numbers = gains.numbers(words)
-        sums, counts = gains.sums[numbers], gains.counts[numbers]
-        width = min(WINDOW, len(numbers))
-        count = len(numbers) - width + 1
-        sums = sum(sums[k : k + count] for k in range(width))
-        return self.bias + sums / sum(counts[k : k + count] for k in range(width))
+        """Logit of every window; a text without words has that of no evidence."""
+        return self.bias + window_means(gains.numbers(words), gains.sums, gains.counts)
 
     def probability(self, logit: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -40, 40))))
@@ -196,29 +203,29 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bucket
     return SubwordSoftmax(np.where(seen, 20 * vectors @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(texts: list[str | None], labels: np.ndarray, *, rounds: int = ROUNDS) -> SubwordSoftmax:
+def train(texts: Iterable[str | None], labels: np.ndarray, *, rounds: int = ROUNDS) -> SubwordSoftmax:
     """Fit on whole texts, refit on top windows, calibrate on every fifth row."""
-    labels = np.asarray(labels, np.int64)
-    words, cache = [without_repeats(words_of(t)) for t in texts], _Words(subwords)
-    fitted = np.arange(len(texts)) % 5 != 4
+    labels, lexicon = np.asarray(labels, np.int64), _Lexicon()
+    words = [lexicon.numbers(t) for t in texts]
+    fitted = np.arange(len(words)) % 5 != 4
     rows = np.flatnonzero(fitted)
-    model = fit([bag(words[i], cache) for i in rows], labels[rows])
+    model = fit([lexicon.bag(words[i]) for i in rows], labels[rows])
     if labels[rows].sum() in (0, len(rows)):
         return model
     calm = []
     for _ in range(rounds):
-        gains, loud = model.word_gains(), []
+        gains, loud = lexicon.gains(model.gain), []
         for i in rows:
-            logits = model.windows(words[i], gains)
+            means = window_means(words[i], *gains)
             for _ in range(1 if labels[i] else 2):
-                at = int(logits.argmax())
-                (loud if labels[i] else calm).append(bag(words[i][at : at + WINDOW], cache))
-                logits[max(0, at - WINDOW + 1) : at + WINDOW] = -np.inf
-                if np.isneginf(logits).all():
+                at = int(means.argmax())
+                (loud if labels[i] else calm).append(lexicon.bag(words[i][at : at + WINDOW]))
+                means[max(0, at - WINDOW + 1) : at + WINDOW] = -np.inf
+                if np.isneginf(means).all():
                     break
         model = fit(loud + calm, np.r_[np.ones(len(loud)), np.zeros(len(calm))])
-    gains, kept = model.word_gains(), np.flatnonzero(~fitted)
-    top = np.array([model.windows(words[i], gains).max() for i in kept])
+    gains, kept = lexicon.gains(model.gain), np.flatnonzero(~fitted)
+    top = np.array([model.bias + window_means(words[i], *gains).max() for i in kept])
     model.slope, model.shift = calibrate(top, labels[kept])
     return model
 
@@ -242,7 +249,7 @@ def train_on(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col
     sample = labelled_sample(docs, labels, label, TRAINING_ROWS, id_col=id_col, text_col=text_col, modulus=modulus, remainder=remainder)
     sample = sample.withColumn("draw", uniform(13, "doc_id")).withColumn("so_far", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy("draw", "doc_id", "text")))
     rows = sample.where(F.col("so_far") <= TRAINING_CHARACTERS).orderBy("so_far", "doc_id").select("text", F.col("label").cast("int").alias("label")).toArrow()
-    return train(rows.column("text").to_pylist(), rows.column("label").to_numpy())
+    return train((t.as_py() for t in rows.column("text")), rows.column("label").to_numpy())
 
 
 def toxicity(docs: DataFrame, model: SubwordSoftmax, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
