@@ -147,9 +147,9 @@ def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.band_pairs(rows, "density", 59, 0.02, group="grp").select("id_i", "id_j", R((F.col("density_i") + F.col("density_j")) / 2, "density"))
 
 
-@query("d10_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("d10_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "customer").select("c_custkey").join(views.table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return views.table(spark, sf_dir, "customer").select("c_custkey").join(views.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("d13_semi_join", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
