@@ -33,9 +33,11 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5, 6)
 #: At most so many labelled rows are used for training.
-TRAINING_ROWS = 6000
+TRAINING_ROWS = 4500
 #: ... and of these, in order of their draw, at most so many characters in all, which the driver holds.
-TRAINING_CHARACTERS = 40_000_000
+TRAINING_CHARACTERS = 20_000_000
+#: Of the fitted rows, the first so many make the first fit, which is on whole texts.
+WHOLE_ROWS = 1500
 WINDOW = 3
 REPEAT = 8
 ROUNDS = 3
@@ -209,7 +211,8 @@ def train(texts: Iterable[str | None], labels: np.ndarray, *, rounds: int = ROUN
     words = [lexicon.numbers(t) for t in texts]
     fitted = np.arange(len(words)) % 5 != 4
     rows = np.flatnonzero(fitted)
-    model = fit([lexicon.bag(words[i]) for i in rows], labels[rows])
+    first = rows[:WHOLE_ROWS] if 0 < labels[rows[:WHOLE_ROWS]].sum() < WHOLE_ROWS else rows
+    model = fit([lexicon.bag(words[i]) for i in first], labels[first])
     if labels[rows].sum() in (0, len(rows)):
         return model
     calm = []
