@@ -108,3 +108,32 @@ def n13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e26_connected_pairs", views.sql(f"{REACH}, nodes AS (SELECT unnest(range(0, 120, 6)) AS a), reach AS (SELECT a AS src, a AS dst FROM nodes UNION SELECT r.src, e.b FROM reach r JOIN both_ways e ON e.a = r.dst) SELECT count(*) AS n_connected FROM reach JOIN nodes ON dst = a WHERE src < dst", "v_edge").replace("WITH ", "WITH RECURSIVE ", 1))
 def e26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n13(spark, sf_dir).select("n_connected")
+
+
+@query("g1_window_indicators")
+def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole windows from geometry to indicators: blocks of square buildings along made-up streets, a window per supplier tenth."""
+    from settlegrid.operators.windows import indicators
+
+    return indicators(made_up_windows(spark, sf_dir), half=64.0, most_shifts=4).select("loc_key", "status", "n_buildings", R("density", "density", 4), R("r_crit", "r_crit", 3), R("d0", "d0", 4))
+
+
+def made_up_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``loc_key, lat, lon, id, geometry, width``: squares of 4 m at occupied pixels and a street grid, as WKB in degrees."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        from settlegrid.operators.geometry import from_local, write_wkb
+
+        loc = int(part["loc"].iloc[0])
+        lat, lon = 35.0 + loc, 139.0 - loc
+        degrees = lambda pts: np.column_stack(from_local(pts[:, 0], pts[:, 1], lon, lat))
+        square = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
+        rows = [(f"b{i}", write_wkb("polygon", [degrees(square + (c - 64.0, 60.0 - r))]), np.nan) for i, (r, c) in enumerate(part[["row", "col"]].sort_values(["row", "col"]).to_numpy())]
+        streets = [np.array([(-64.0, y), (64.0, y + 3)]) for y in (-40, 0, 40)] + [np.array([(x, -64.0), (x, 64.0)]) for x in (-30, 35)]
+        rows += [(f"s{i}", write_wkb("line", degrees(p)), 4.0 + i) for i, p in enumerate(streets)]
+        return pd.DataFrame(rows, columns=["id", "geometry", "width"]).assign(loc_key=f"{lat:.4f}_{lon:.4f}", lat=lat, lon=lon)[["loc_key", "lat", "lon", "id", "geometry", "width"]]
+
+    some = views.pixels(spark, sf_dir).where("row % 16 = 5 and col % 4 = 1")
+    return some.groupBy("loc").applyInPandas(run, "loc_key string, lat double, lon double, id string, geometry binary, width double")
