@@ -95,11 +95,11 @@ def indicators(features: DataFrame, half: float = 1000.0, step: float = 1.0, mos
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"loc_key": rows["loc_key"].iloc[0], "status": "done", "error": None}
+        out = dict.fromkeys(names) | {"loc_key": rows["loc_key"].iloc[0], "status": "done"}
         try:
             out |= window_indicators(rows.sort_values("id"), half, step, most_shifts=most_shifts)
         except ValueError as error:
             out |= {"status": "failed", "error": str(error)[:500]}
-        return pd.DataFrame([out]).reindex(columns=names)
+        return pd.DataFrame([out], columns=names)
 
     return features.groupBy("loc_key").applyInPandas(run, SCHEMA)
