@@ -25,6 +25,7 @@ class Network:
         self.links: list[dict[int, tuple[float, str | None]]] = []
         self.at: dict[Point, int] = {}
         self.streets: list[int] = []
+        self._xy = np.empty((64, 2))
 
     def key(self, p: Point) -> Point:
         """The grid point that ``p`` snaps to; halves go to the even neighbour."""
@@ -40,6 +41,9 @@ class Network:
         key = self.key(p)
         if key not in self.at:
             self.at[key] = self.add(*key, "road")
+            if len(self.streets) == len(self._xy):
+                self._xy = np.vstack([self._xy, np.empty_like(self._xy)])
+            self._xy[len(self.streets)] = key
             self.streets.append(self.at[key])
         return self.at[key]
 
@@ -57,8 +61,7 @@ class Network:
         """Nearest of the first ``upto`` street nodes, the earliest of equals."""
         if not upto:
             return None, math.inf
-        found = np.array([self.nodes[i][:2] for i in self.streets[:upto]])
-        away = np.hypot(found[:, 0] - p[0], found[:, 1] - p[1])
+        away = np.hypot(self._xy[:upto, 0] - p[0], self._xy[:upto, 1] - p[1])
         k = int(away.argmin())
         return self.streets[k], float(away[k])
 
