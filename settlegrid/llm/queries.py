@@ -127,6 +127,63 @@ FROM norm
 """
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), i AS (
+  SELECT item_id, w, len(w) AS n, least(len(w), 5) AS width
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0
+), ig AS (
+  SELECT item_id, n, width, g, count(*) AS c
+  FROM (SELECT item_id, n, width, array_to_string(w[p:p + width - 1], ' ') AS g FROM i, unnest(generate_series(1, n - width + 1)) t(p))
+  GROUP BY item_id, n, width, g
+), dg AS (
+  SELECT doc_id, width, len(w) AS nw, p, array_to_string(w[p:p + width - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT width FROM i) x, unnest(generate_series(1, len(w) - width + 1)) t(p)
+), a AS (
+  SELECT DISTINCT doc_id, item_id, n, dg.width, nw, greatest(1, least(p, nw - n + 1)) AS s
+  FROM dg JOIN ig ON dg.g = ig.g AND dg.width = ig.width
+), win AS (
+  SELECT a.doc_id, a.item_id, a.n, a.width, a.nw, a.s, dg.g, count(*) AS c
+  FROM a JOIN dg ON dg.doc_id = a.doc_id AND dg.width = a.width AND dg.p BETWEEN a.s AND a.s + a.n - a.width
+  GROUP BY ALL
+), met AS (
+  SELECT doc_id, win.item_id, s, any_value(win.n) AS n, any_value(win.width) AS width, any_value(nw) AS nw, sum(least(win.c, ig.c))::DOUBLE AS m
+  FROM win JOIN ig ON win.item_id = ig.item_id AND win.g = ig.g
+  GROUP BY doc_id, win.item_id, s
+), sim AS (
+  SELECT doc_id, item_id, s - 1 AS start, m / ((least(nw, n) - width + 1) + (n - width + 1) - m) AS similarity FROM met
+)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, {'a': -similarity, 'b': start}) AS start
+FROM sim WHERE similarity >= 0.8::DOUBLE - 1e-12::DOUBLE GROUP BY doc_id, item_id
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+  FROM d, unnest(generate_series(1, greatest(1, len(w) - 4))) t(p) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT x AS src, x AS dst FROM both_ways UNION SELECT r.src, b.y FROM reach r JOIN both_ways b ON b.x = r.dst
+), low AS (
+  SELECT src, min(dst) AS component_id FROM reach GROUP BY src
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.component_id, d.doc_id) AS component_id,
+       coalesce(low.component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.src = d.doc_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -148,4 +205,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_minhash_near_dedup": OP9_SQL}
