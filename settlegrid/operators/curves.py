@@ -29,7 +29,7 @@ def first_reach(curve: DataFrame, target: float, name: str) -> DataFrame:
     The last d if it never is, the first if it is from the start.
     """
     steps = curve.select("series", "d", "g", F.lag("d").over(_along()).alias("d0"), F.lag("g").over(_along()).alias("g0"))
-    at = F.when(F.col("d0").isNull(), F.col("d")).otherwise(F.col("d0") + (target - F.col("g0")) / (F.col("g") - F.col("g0")) * (F.col("d") - F.col("d0")))
+    at = F.when(F.col("d0").isNull(), F.col("d")).otherwise(F.col("d0") + F.try_divide(target - F.col("g0"), F.col("g") - F.col("g0")) * (F.col("d") - F.col("d0")))
     found = F.min(F.when(F.col("g") >= target, F.struct("d", at.alias("at"))))["at"]
     return steps.groupBy("series").agg(F.coalesce(found, F.max("d")).alias(name))
 
@@ -38,7 +38,7 @@ def strict_crossing(curve: DataFrame, target: float, name: str) -> DataFrame:
     """As ``first_reach``, but the point before must be under ``target``; the first d if the last g is not under it either."""
     steps = curve.select("series", "d", "g", F.lag("d").over(_along()).alias("d0"), F.lag("g").over(_along()).alias("g0"))
     crosses = (F.col("g0") < target) & (F.col("g") >= target)
-    at = F.col("d0") + (target - F.col("g0")) / (F.col("g") - F.col("g0")) * (F.col("d") - F.col("d0"))
+    at = F.col("d0") + F.try_divide(target - F.col("g0"), F.col("g") - F.col("g0")) * (F.col("d") - F.col("d0"))
     found = F.min(F.when(crosses, F.struct("d", at.alias("at"))))["at"]
     edge = F.when(F.max_by("g", "d") < target, F.max("d")).otherwise(F.min("d"))
     return steps.groupBy("series").agg(F.coalesce(found, edge).alias(name))
@@ -73,7 +73,7 @@ def interpolate(curve: DataFrame, at: DataFrame, x: str, name: str) -> DataFrame
     steps = curve.select("series", "d", "g", F.lead("d").over(_along()).alias("d1"), F.lead("g").over(_along()).alias("g1"))
     met = steps.join(at, "series")
     inside = (F.col("d") <= F.col(x)) & (F.col(x) < F.col("d1"))
-    value = F.col("g") + (F.col(x) - F.col("d")) / (F.col("d1") - F.col("d")) * (F.col("g1") - F.col("g"))
+    value = F.col("g") + F.try_divide(F.col(x) - F.col("d"), F.col("d1") - F.col("d")) * (F.col("g1") - F.col("g"))
     edge = F.when(F.max(x) >= F.max("d"), F.max_by("g", "d")).otherwise(F.min_by("g", "d"))
     return met.groupBy("series").agg(F.coalesce(F.max(F.when(inside, value)), edge).alias(name))
 
@@ -143,7 +143,7 @@ def spectrum_skewness(spectrum_rows: DataFrame) -> DataFrame:
     """``series, s_alpha``: third standardised moment of alpha with weights f(alpha) > 0; null under three points, 0 without spread."""
     kept = spectrum_rows.where("f_alpha > 0")
     own = Window.partitionBy("series")
-    kept = kept.withColumn("mean", F.sum(F.col("alpha") * F.col("f_alpha")).over(own) / F.sum("f_alpha").over(own))
+    kept = kept.withColumn("mean", F.try_divide(F.sum(F.col("alpha") * F.col("f_alpha")).over(own), F.sum("f_alpha").over(own)))
     away = F.col("alpha") - F.col("mean")
     sums = kept.groupBy("series").agg(F.count("*").alias("n"), F.sum("f_alpha").alias("w"), F.sum(F.col("f_alpha") * away**2).alias("m2"), F.sum(F.col("f_alpha") * away**3).alias("m3"))
     sd = F.sqrt(F.col("m2") / F.col("w"))

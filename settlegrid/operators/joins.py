@@ -98,7 +98,7 @@ def band_pairs(rows: DataFrame, by: str, reach: int, relative: float, *, group:
     if group is not None:
         same = same & (F.col(f"{group}_i") == F.col(f"{group}_j"))
     gap = F.col("rn_j") - F.col("rn_i")
-    near = F.abs(F.col(f"{by}_i") - F.col(f"{by}_j")) / ((F.col(f"{by}_i") + F.col(f"{by}_j")) / 2) <= relative
+    near = F.try_divide(F.abs(F.col(f"{by}_i") - F.col(f"{by}_j")), (F.col(f"{by}_i") + F.col(f"{by}_j")) / 2) <= relative
     return left.join(right, same & (gap >= 1) & (gap <= reach) & near).drop("block_i", "block_j")
 
 

@@ -48,9 +48,9 @@ def contributions(scored: DataFrame, columns: list[str], key: str, *, by: list[s
     right = scored.select(*by, F.col(key).alias("_j"), *(F.col(c).alias(f"_b_{c}") for c in columns), (F.col(weight) if weight else F.lit(1.0)).alias("_wb"))
     pairs = left.join(right, by).where("_i < _j").select(*by, (F.col("_wa") * F.col("_wb")).alias("_w"), *(((F.col(f"_a_{c}") - F.col(f"_b_{c}")) ** 2).alias(c) for c in columns))
     pairs = pairs.withColumn("_all", total([F.col(c) for c in columns]))
-    mean = lambda x: F.sum(F.col("_w") * x) / F.sum("_w")
+    mean = lambda x: F.try_divide(F.sum(F.col("_w") * x), F.sum("_w"))
     full = mean(F.sqrt("_all"))
-    return pairs.groupBy(*by).agg(*((100 * (full - mean(F.sqrt(F.greatest(F.col("_all") - F.col(c), F.lit(0.0))))) / full).alias(c) for c in columns))
+    return pairs.groupBy(*by).agg(*(F.try_divide(100 * (full - mean(F.sqrt(F.greatest(F.col("_all") - F.col(c), F.lit(0.0))))), full).alias(c) for c in columns))
 
 
 def moving_windows(rows: DataFrame, order: str, key: str, width: int, step: int, *, group: str) -> DataFrame:
@@ -67,8 +67,8 @@ def crossings(windows: DataFrame, x: str, density: str, dynamic: str, baseline:
     order = Window.partitionBy(group).orderBy(x)
     rows = windows.select(group, F.col(x).alias("x"), (F.col(density) - F.col(dynamic)).alias("a"), (F.col(density) - baseline).alias("b"))
     rows = rows.select("*", F.lag("x").over(order).alias("x0"), F.lag("a").over(order).alias("a0"), F.lag("b").over(order).alias("b0"))
-    up = F.when((F.col("a0") < 0) & (F.col("a") >= 0), F.col("x0") + (0 - F.col("a0")) / (F.col("a") - F.col("a0")) * (F.col("x") - F.col("x0")))
-    down = F.when((F.col("b") < 0) & (F.col("b0") >= 0), F.col("x") + (0 - F.col("b")) / (F.col("b0") - F.col("b")) * (F.col("x0") - F.col("x")))
+    up = F.when((F.col("a0") < 0) & (F.col("a") >= 0), F.col("x0") + F.try_divide(0 - F.col("a0"), F.col("a") - F.col("a0")) * (F.col("x") - F.col("x0")))
+    down = F.when((F.col("b") < 0) & (F.col("b0") >= 0), F.col("x") + F.try_divide(0 - F.col("b"), F.col("b0") - F.col("b")) * (F.col("x0") - F.col("x")))
     rows = rows.withColumn("up", up).withColumn("down", down)
     return rows.groupBy(group).agg(F.min_by("up", F.when(F.col("up").isNotNull(), F.col("x"))).alias("d_star_sparse"), F.max_by("down", F.when(F.col("down").isNotNull(), F.col("x"))).alias("d_star_dense"))
 
