@@ -229,17 +229,21 @@ def train(texts: Iterable[str | None], labels: np.ndarray, *, rounds: int = ROUN
         model = fit(loud + calm, np.r_[np.ones(len(loud)), np.zeros(len(calm))])
     gains, kept = lexicon.gains(model.gain), np.flatnonzero(~fitted)
     top = np.array([model.bias + window_means(words[i], *gains).max() for i in kept])
-    model.slope, model.shift = calibrate(top, labels[kept])
+    model.slope, model.shift = calibrate(top, labels[kept], model.bias)
     return model
 
 
-def calibrate(logits: np.ndarray, labels: np.ndarray, steps: int = 3000) -> tuple[float, float]:
-    """Slope and shift of a logistic fit, with half a count of each class so that it stays finite."""
+def calibrate(logits: np.ndarray, labels: np.ndarray, quiet: float, steps: int = 3000) -> tuple[float, float]:
+    """Slope and shift of a logistic fit, with half a count of each class so that it stays finite.
+
+    ``quiet``, the logit without any evidence, joins the calm side with a tenth
+    of all weight: a text of no known words is calm wherever the classes part.
+    """
     if not len(labels):
         return 1.0, 0.0
     spread = max(1.0, float(logits.std()))
-    x = np.r_[logits, logits.mean(), logits.mean()] / spread
-    y, weight = np.r_[labels, 0, 1], np.r_[np.ones(len(labels)), 0.5, 0.5]
+    x = np.r_[logits, logits.mean(), logits.mean(), quiet] / spread
+    y, weight = np.r_[labels, 0, 1, 0], np.r_[np.ones(len(labels)), 0.5, 0.5, max(1.0, 0.1 * len(labels))]
     slope, shift = spread, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -40, 40)))
