@@ -76,7 +76,7 @@ def top_bits(key: str, bits: int) -> Column:
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_bits: int = 64) -> tuple[DataFrame, Directory]:
-    """The index of all texts: ``bucket, key, chain, sha, keep_id, group_size`` and its directory.
+    """The index of all texts: ``bucket, key, sha, keep_id, group_size`` and its directory; the rows of one key are its chain.
 
     Grouping by key and text compares whole texts and first combines within
     each input partition, so a text that fills a third of the corpus reaches
