@@ -9,9 +9,10 @@ How it stays whole and bounded:
 
 * Documents with equal sets form a class; one class takes part once, however many copies it has.
 * A list is keyed by three consecutive retained values. In a list of single values, all documents that share a passage
-  would meet; runs of three are shared by those that are alike around the passage too. Two sets with similarity t share a
-  run of three among 64 values but for a chance under 1e-9 at t = 0.8 and 3e-13 at 0.85; for sets up to 125 shingles at
-  0.85 it is certain, because the union holds fewer differences than its runs need.
+  would meet; runs of three are shared by those that are alike around the passage too. A union of c common values and d
+  others holds a common run for certain if c >= 2 d + 3. Sets so small that a similar pair can miss this (4 of 5 at 0.8;
+  none at 0.85) are also keyed by their single values. So it is certain for sets up to 93 shingles at 0.8 and 125 at
+  0.85; beyond, two similar sets share no run among 64 values with a chance under 1e-9 at 0.8 and 3e-13 at 0.85.
 * In a list everyone is first compared with its least class, the leader. Lists with the same leader are then one group;
   groups whose members are all linked by now are done. In the others, pairs are made across components only: in SQL where
   a group is small, else in blocks of two hundred or so that compare their sketches as matrices and return what may link.
@@ -165,6 +166,12 @@ def likely_pairs(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
+def single_keyed(percent: int) -> int:
+    """Sets up to this size need keys of single values: the largest union in which a similar pair may share no run of ``RUN``."""
+    common = {u: -(-percent * u // 100) for u in range(1, KEYED + 1)}
+    return max((u for u, c in common.items() if c < u and c < (RUN - 1) * (u - c + 1) + 1), default=0)
+
+
 class _Job:
     """One run over a document table: its sketches and what is derived from them."""
 
@@ -178,9 +185,11 @@ class _Job:
 
     def groups(self) -> DataFrame:
         """``lead, cls``: for every inverted list of two classes or more, its members by its least class."""
-        heads = self.some.select("row", "cls", "head").join(self.classes.select("row"), "row", "left_semi")
+        heads = self.some.select("row", "cls", "head", "n_shingles").join(self.classes.select("row"), "row", "left_semi")
         runs = F.expr(f"transform(sequence(1, greatest(1, size(head) - {RUN - 1})), i -> xxhash64(slice(head, i, {RUN})))")
-        keys = heads.select("cls", F.explode(F.array_distinct(runs)).alias("key"))
+        singles = F.expr("transform(sequence(1, size(head)), i -> xxhash64(slice(head, i, 1)))")
+        both = F.when(F.col("n_shingles") <= single_keyed(self.percent), F.concat(runs, singles)).otherwise(runs)
+        keys = heads.select("cls", F.explode(F.array_distinct(both)).alias("key"))
         lists = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("_high")).where("lead < _high").select("key", "lead")
         lists = materialize(lists, "lists")
         return materialize(keys.join(lists, "key").select("lead", "cls").distinct(), "groups")

@@ -1,7 +1,7 @@
 import random
 
 from brute import near_components
-from settlegrid.llm.near_dup import drop_near_duplicates, near_duplicates
+from settlegrid.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_set, single_keyed
 
 SCHEMA = "doc_id long, text string"
 
@@ -42,6 +42,20 @@ def test_lower_threshold(spark):
     check(spark, drifting(6, 10, 8), percent=80)
 
 
+def test_four_of_five_shingles_link_wherever_the_fifth_falls(spark):
+    assert single_keyed(80) == 5 and single_keyed(85) == 0
+    draw, rows, places = random.Random(9), [], set()
+    for g in range(40):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(9)]
+        short = words[1:] if g % 2 else words[:-1]
+        whole, part = (shingle_set(" ".join(w)) for w in (words, short))
+        places.add((g % 2, [x in part for x in whole].index(False)))
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(short))]
+    assert places == {(side, place) for side in (0, 1) for place in range(5)}
+    want = check(spark, rows, percent=80)
+    assert all(want[2 * g + 1] == 2 * g for g in range(40))
+
+
 def test_short_wordless_and_equal_texts(spark):
     rows = [(9, "a b c"), (4, "A B\tC"), (5, "a b"), (6, ""), (7, None), (8, "  \n"), (10, "a b c d e"), (11, "a b c d e f"), (3, "x " * 3000), (12, "X " * 2999)]
     want = check(spark, rows)
