@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -94,7 +94,7 @@ def _class_of(values: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, *, size: int = SKETCH, width: int = 5, full: bool = False) -> DataFrame:
-    """``doc_id, n_shingles, cls, sketch``: set size, a hash of the whole set, and its least values (all of them if ``full``)."""
+    """``doc_id, n_shingles, cls, sketch, text_key``: set size, a hash of the whole set, its least values (all of them if ``full``), a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +107,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, *, size: int = SKETCH,
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_class_of(s) for s in sets], pa.int64()),
                         _lists(sets if full else [s[:size] for s in sets]),
+                        part.column(2),
                     ],
-                    ["doc_id", "n_shingles", "cls", "sketch"],
+                    ["doc_id", "n_shingles", "cls", "sketch", "text_key"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch array<long>")
+    columns = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key")
+    return docs.select(*columns).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch array<long>, text_key long")
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def keep_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ class _Job:
         self.docs, self.id_col, self.text_col, self.percent, self.width = docs, id_col, text_col, percent, width
         rows = sketches(docs, id_col, text_col, width=width).withColumn("row", F.monotonically_increasing_id())
         head, tail = F.expr(f"slice(sketch, 1, {KEYED})").alias("head"), F.expr(f"slice(sketch, {KEYED + 1}, {SKETCH})").alias("tail")
-        self.rows = materialize(rows.select("row", "doc_id", "n_shingles", "cls", head, tail), "sketches")
+        self.rows = materialize(rows.select("row", "doc_id", "n_shingles", "cls", "text_key", head, tail), "sketches")
         self.some = self.rows.where("n_shingles > 0 and doc_id is not null")
         self.classes = materialize(self.some.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.min("row").alias("row")), "classes")
 
@@ -283,21 +289,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links, have a null component and are kept; rows with the same id and the
     same shingles say the same; an empty table gives no rows.
     """
+    return _decided(docs, id_col, text_col, percent, width).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """What ``near_duplicates`` returns, and ``text_key, root``: a hash of each row's text, and its component by class, null for wordless texts."""
     job = _Job(docs, id_col, text_col, percent, width)
     parts = components(job.links()).withColumnRenamed("v", "cls")
     placed = job.classes.select("cls", "min_id").join(parts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     placed = materialize(placed, "placed")
     least = materialize(placed.groupBy("root").agg(F.min("min_id").alias("component_id")), "roots")
-    named = materialize(placed.join(least, "root").select("cls", "component_id"), "named")
-    rows = job.rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
+    named = materialize(placed.join(least, "root").select("cls", "root", "component_id"), "named")
+    rows = job.rows.select("doc_id", "n_shingles", "text_key", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
     rows = rows.join(named, "cls", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", "root")
+
 
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: one per component, and every row with a null id.
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one per component; of rows that share an id, one."""
-    kept = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    Rows are told apart by id and text, so rows that share an id but are not
+    near duplicates all stay; of rows with the same id and no words, one.
+    """
+    decided = _decided(docs, id_col, text_col, percent, width).where("kept and doc_id is not null")
+    kept = decided.groupBy("doc_id", "root").agg(F.min("text_key").alias("_text_key")).select(F.col("doc_id").alias("_kept"), "_text_key")
+    named = docs.where(F.col(id_col).cast("long").isNotNull()).withColumn("_text_key", text_key(text_col))
+    rows = named.join(kept, (named[id_col].cast("long") == kept["_kept"]) & (named["_text_key"] == kept["_text_key"]), "left_semi")
+    rows = rows.dropDuplicates([id_col, "_text_key"]).select(*docs.columns)
+    return rows.unionByName(docs.where(F.col(id_col).cast("long").isNull()))

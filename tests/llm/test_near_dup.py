@@ -71,5 +71,16 @@ def test_drop_keeps_one_row_of_each_group_and_all_columns(spark):
     assert sum(r.doc_id is None for r in got) == 1
 
 
+def test_drop_keeps_null_ids_and_distinct_texts_of_an_id(spark):
+    base = [f"w{i}" for i in range(30)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(None, "alpha beta"), (None, "gamma delta"), (None, "gamma delta"), (None, None)]
+    rows += [(1, " ".join(base)), (2, near), (2, "a text of its own"), (2, "A text of its OWN")]
+    rows += [(5, "five is one text"), (5, "five is another"), (5, "five is one text"), (7, None), (7, " ")]
+    got = [tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(t or "" for i, t in got if i is None) == ["", "alpha beta", "gamma delta", "gamma delta"]
+    assert sorted((i, (t or "").lower().strip()) for i, t in got if i is not None) == [(1, " ".join(base)), (2, "a text of its own"), (5, "five is another"), (5, "five is one text"), (7, "")]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
