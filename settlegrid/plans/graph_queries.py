@@ -115,7 +115,7 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole windows from geometry to indicators: blocks of square buildings along made-up streets, a window per supplier tenth."""
     from settlegrid.operators.windows import indicators
 
-    return indicators(made_up_windows(spark, sf_dir), half=64.0, most_shifts=4).select("loc_key", "status", "n_buildings", R("density", "density", 4), R("r_crit", "r_crit", 3), R("d0", "d0", 4))
+    return indicators(made_up_windows(spark, sf_dir), half=64.0).select("loc_key", "status", "n_buildings", R("density", "density", 4), R("r_crit", "r_crit", 3), R("d0", "d0", 4))
 
 
 def made_up_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +135,4 @@ def made_up_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows += [(f"s{i}", write_wkb("line", degrees(p)), 4.0 + i) for i, p in enumerate(streets)]
         return pd.DataFrame(rows, columns=["id", "geometry", "width"]).assign(loc_key=f"{lat:.4f}_{lon:.4f}", lat=lat, lon=lon)[["loc_key", "lat", "lon", "id", "geometry", "width"]]
 
-    some = views.pixels(spark, sf_dir).where("row % 16 = 5 and col % 4 = 1")
-    return some.groupBy("loc").applyInPandas(run, "loc_key string, lat double, lon double, id string, geometry binary, width double")
+    return views.pixels(spark, sf_dir).groupBy("loc").applyInPandas(run, "loc_key string, lat double, lon double, id string, geometry binary, width double")

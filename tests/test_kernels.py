@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import os
 import random
 import struct
 import zlib
@@ -13,6 +14,8 @@ from settlegrid.functions.spatial import geometric_sizes, shifts, thresholds
 from settlegrid.operators import curves, geometry, network, raster
 from settlegrid.sources import images
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_grids():
     assert geometric_sizes(2, 2000, 20) == [2, 4, 5, 8, 12, 17, 25, 36, 52, 75, 109, 156, 225, 324, 467, 671, 966, 1390, 2000]
@@ -175,3 +178,18 @@ def test_overlay_image():
     size = struct.unpack(">I", data[at - 4 : at])[0]
     rows = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size]), np.uint8).reshape(100, 301)
     assert np.array_equal(rows[:, 1:].reshape(100, 100, 3), image)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+def test_made_up_windows_hold_every_pixel_and_all_shifts(spark):
+    from settlegrid.operators.windows import window_indicators
+    from settlegrid.plans import graph_queries, views
+
+    rows = graph_queries.made_up_windows(spark, SF_DIR).toPandas()
+    built = rows[rows["id"].str.startswith("b")].groupby("lat").size().to_dict()
+    pixels = views.pixels(spark, SF_DIR).toPandas()
+    assert built == {35.0 + loc: n for loc, n in pixels.groupby("loc").size().items()}
+    got = {r.loc_key: r for r in graph_queries.g1(spark, SF_DIR).collect()}
+    key = min(got)
+    want = window_indicators(rows[rows["loc_key"] == key].sort_values("id"), 64.0, most_shifts=16)
+    assert got[key].d0 == round(want["d0"], 4) and got[key].n_buildings == want["n_buildings"]
