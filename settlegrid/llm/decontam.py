@@ -13,7 +13,8 @@ A window of w shingles and an item of k need at least t / (1 + t) * (w + k)
 positions with a shingle of the item. Moving a window up to its first such
 position loses none of them, so windows that start elsewhere need not be tried.
 At t = 0.8 a similar pair is outside the radius with a chance under 0.0005, at
-0.85 and above under 0.00001.
+0.85 and above under 0.00001, where the window is as long as the item. Documents
+shorter than an item lose more (see README).
 """
 
 from __future__ import annotations
