@@ -43,6 +43,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    taken, found = {c.lower() for c in df.columns}, f"_{name}"
+    while any(c.startswith(found.lower()) for c in taken):
+        found = f"_{found}"
+    return found
+
+
+def id_type(df: DataFrame, column: str) -> str:
+    """The type of a column, as a schema string has it."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
 def null_key(column: str) -> Column:
     """A never-null string that differs for null, the empty string and every other value."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, id_type, materialize
 from .components import components
 
 #: Values retained per document. Sets up to this size are retained whole.
@@ -41,6 +41,10 @@ RUN = 3
 #: Groups up to this size make their pairs in SQL, larger ones in blocks of about BLOCK members.
 SMALL = 24
 BLOCK = 200
+VALUES = 60_000
+COLUMNS = 8192
+#: Rounds in which the open members of a group are compared with one of them.
+STARS = 2
 #: Bits of the id filter that is sent to all tasks: 8 MB at most, whatever the input.
 FILTER_BITS = 1 << 26
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -89,8 +93,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
-def _class_of(values: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64))
+def _class_of(values: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(values.tobytes())
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, *, size: int = SKETCH, width: int = 5, full: bool = False) -> DataFrame:
@@ -105,15 +109,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, *, size: int = SKETCH,
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_class_of(s) for s in sets], pa.int64()),
+                        pa.array([_class_of(s) for s in sets], pa.binary()),
                         _lists(sets if full else [s[:size] for s in sets]),
                         part.column(2),
                     ],
                     ["doc_id", "n_shingles", "cls", "sketch", "text_key"],
                 )
 
-    columns = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key")
-    return docs.select(*columns).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch array<long>, text_key long")
+    columns = F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key")
+    return docs.select(*columns).mapInArrow(run, f"doc_id {id_type(docs, id_col)}, n_shingles long, cls binary, sketch array<long>, text_key long")
 
 
 def text_key(text_col: str) -> Column:
@@ -127,49 +131,60 @@ def keep_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     most 8 MB that each task gets. Other rows pass by chance only; an exact
     join follows wherever this is used.
     """
-    position = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    position = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
     bits = ids.select(position("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
     bits = materialize(bits, "filter")
-    rows = docs.withColumn("_p", position(id_col)).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(bits), "_bucket")
-    at = F.bitmap_bit_position("_p")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_p) % 8 as int))")) != 0).select(*docs.columns)
+    bucket, held = fresh(docs, "bucket"), fresh(docs, "bits")
+    bits = bits.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(held))
+    rows = docs.join(F.broadcast(bits), F.bitmap_bucket_number(position(id_col)) == bits[bucket])
+    at = F.bitmap_bit_position(position(id_col))
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.where(F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1).select(*docs.columns)
 
 
-def likely_pairs(group: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a block (``side, cls, part, n, sketch``) that may link; each pair once.
+def block_links(group: pa.Table, percent: int) -> pa.Table:
+    """Verified links of a block (``side, row, part, shingles``) that join its parts: a spanning forest, so fewer than the block has members.
 
     Both sides hold members of one group; the sides are the same block where
-    all rows say ``side = 0``. Common values are counted by a product of 0/1
-    matrices. Two whole sets are compared exactly, others on the range that both
-    sketches cover, with six standard deviations to spare.
+    all rows say ``side = 0``. Common values are counted by products of 0/1
+    matrices over ``COLUMNS`` values at a time; with whole sets on both sides the similarity is exact.
     """
-    side, cls, part, size = (group.column(c).to_numpy() for c in ("side", "cls", "part", "n"))
-    arrays = [np.asarray(x) for x in group.column("sketch").to_pylist()]
+    side, row, part = (group.column(c).to_numpy() for c in ("side", "row", "part"))
+    arrays = [np.asarray(x, np.int64) for x in group.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in arrays])
     first = np.flatnonzero(side == 0)
     second = np.flatnonzero(side == 1) if (side == 1).any() else first
-    owner = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
-    values, column, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(arrays)), size)
+    _, column, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
     shared = counts[column] > 1
-    slot = np.cumsum(counts > 1) - 1
-    held = np.zeros((len(arrays), max(1, int((counts > 1).sum()))), np.float32)
-    held[owner[shared], slot[column[shared]]] = 1
-    common = held[first] @ held[second].T
-    top = np.array([x[-1] if n > len(x) else np.iinfo(np.int64).max for x, n in zip(arrays, size)])
-    seen = np.array([np.searchsorted(x, top, side="right") for x in arrays])
-    mine = np.where(top[first][:, None] <= top[second][None, :], seen[first, first][:, None], seen[np.ix_(first, second)])
-    theirs = np.where(top[second][None, :] <= top[first][:, None], seen[second, second][None, :], seen[np.ix_(second, first)].T)
-    share = common / np.maximum(mine + theirs - common, 1)
-    whole = np.array([n <= len(x) for x, n in zip(arrays, size)])
-    t = percent / 100
-    least = np.where(whole[first][:, None] & whole[second][None, :], t - 1e-6, t - 6 * math.sqrt(t * (1 - t) / SKETCH))
-    small, large = np.minimum(size[first][:, None], size[second][None, :]), np.maximum(size[first][:, None], size[second][None, :])
-    open_ = (share >= least) & (part[first][:, None] != part[second][None, :]) & (small * 100 >= large * percent)
-    if second is first:
-        open_ &= cls[first][:, None] < cls[second][None, :]
-    x, y = np.nonzero(open_)
-    x, y = cls[first][x], cls[second][y]
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+    owner, column = owner[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(first), len(second)), np.float32)
+    for start in range(0, int((counts > 1).sum()), COLUMNS):
+        low, high = np.searchsorted(column, (start, start + COLUMNS))
+        held = np.zeros((len(arrays), COLUMNS), np.float32)
+        held[owner[low:high], column[low:high] - start] = 1
+        common += held[first] @ held[second].T
+    linked = 100 * common >= percent * (size[first][:, None] + size[second][None, :] - common)
+    linked &= part[first][:, None] != part[second][None, :]
+    root = {p: p for p in part.tolist()}
+
+    def top(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    a, b = [], []
+    for x, y in zip(*(i.tolist() for i in np.nonzero(linked))):
+        x, y = first[x], second[y]
+        p, q = top(int(part[x])), top(int(part[y]))
+        if p != q:
+            root[p] = q
+            a.append(min(row[x], row[y]))
+            b.append(max(row[x], row[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def single_keyed(percent: int) -> int:
@@ -179,7 +194,11 @@ def single_keyed(percent: int) -> int:
 
 
 class _Job:
-    """One run over a document table: its sketches and what is derived from them."""
+    """One run over a document table: its sketches and what is derived from them.
+
+    A class is named by the ``row`` of one of its rows, so no two classes share
+    a name; rows belong to a class by the 128-bit hash of their whole set.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int):
         self.docs, self.id_col, self.text_col, self.percent, self.width = docs, id_col, text_col, percent, width
@@ -190,21 +209,28 @@ class _Job:
         self.classes = materialize(self.some.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.min("row").alias("row")), "classes")
 
     def groups(self) -> DataFrame:
-        """``lead, cls``: for every inverted list of two classes or more, its members by its least class."""
-        heads = self.some.select("row", "cls", "head", "n_shingles").join(self.classes.select("row"), "row", "left_semi")
+        """``lead, row, met``: for every inverted list of two classes or more, its members by the class that meets most others."""
+        heads = self.some.select("row", "head", "n_shingles").join(self.classes.select("row"), "row", "left_semi")
         runs = F.expr(f"transform(sequence(1, greatest(1, size(head) - {RUN - 1})), i -> xxhash64(slice(head, i, {RUN})))")
         singles = F.expr("transform(sequence(1, size(head)), i -> xxhash64(slice(head, i, 1)))")
         both = F.when(F.col("n_shingles") <= single_keyed(self.percent), F.concat(runs, singles)).otherwise(runs)
-        keys = heads.select("cls", F.explode(F.array_distinct(both)).alias("key"))
-        lists = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("_high")).where("lead < _high").select("key", "lead")
-        lists = materialize(lists, "lists")
-        return materialize(keys.join(lists, "key").select("lead", "cls").distinct(), "groups")
-
-    def candidates(self, groups: DataFrame) -> DataFrame:
-        """``cls, n, sketch`` of the classes in ``groups``."""
-        wanted = materialize(groups.select("cls").distinct().join(self.classes, "cls").select(F.col("row").alias("id")), "wanted")
-        rows = keep_ids(self.some, "row", wanted).join(wanted.withColumnRenamed("id", "row"), "row", "left_semi")
-        return materialize(rows.select("cls", F.col("n_shingles").alias("n"), F.concat("head", "tail").alias("sketch")), "candidates")
+        keys = heads.select("row", F.explode(F.array_distinct(both)).alias("key"))
+        lists = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+        shared = materialize(keys.join(materialize(lists, "lists"), "key"), "shared")
+        met = materialize(shared.groupBy("row").agg(F.sum("held").alias("met")), "met")
+        shared = materialize(shared.join(met, "row").select("key", "row", "met"), "shared")
+        leads = materialize(shared.groupBy("key").agg(F.max(F.struct("met", "row"))["row"].alias("lead")), "leads")
+        return materialize(shared.join(leads, "key").select("lead", "row", "met").distinct(), "groups")
+
+    def hold(self, groups: DataFrame) -> None:
+        """``held``: sketches, and ``sets``: whole sets made anew from the texts, of the classes in ``groups``."""
+        wanted = materialize(groups.select("row").distinct().join(self.classes, "row"), "wanted")
+        rows = keep_ids(self.some, "row", wanted.select(F.col("row").alias("id"))).join(wanted.select("row"), "row", "left_semi")
+        self.held = materialize(rows.select("row", F.col("n_shingles").alias("n"), F.concat("head", "tail").alias("sketch")), "held")
+        docs = keep_ids(self.docs.select(self.id_col, self.text_col), self.id_col, wanted.select(F.col("min_id").alias("id")))
+        sets = sketches(docs, self.id_col, self.text_col, width=self.width, full=True).select(F.col("doc_id").alias("min_id"), "cls", F.col("sketch").alias("shingles"))
+        sets = sets.join(wanted, ["min_id", "cls"]).dropDuplicates(["row"])
+        self.sets = materialize(sets.select("row", "shingles"), "sets")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that the union of their sketches leaves open.
@@ -213,8 +239,8 @@ class _Job:
         a pair goes if that is more than six standard deviations below the
         threshold. Where both sketches hold whole sets the share is exact.
         """
-        left = self.held.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-        right = self.held.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+        left = self.held.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+        right = self.held.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
         met = pairs.join(left, "a").join(right, "b").where((F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * self.percent))
         # Of each sketch, what is in the range that both cover; no array of the union has to be sorted.
         low = F.least(*(F.when(F.col(f"n_{x}") > F.size(f"s_{x}"), F.element_at(f"s_{x}", -1)).otherwise(F.lit(2**63 - 1)) for x in "ab"))
@@ -226,56 +252,78 @@ class _Job:
         return met.where(F.col("common") / F.greatest(union, F.lit(1)) >= least).select("a", "b")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` whose full sets, made anew from the texts, are similar enough."""
-        pairs = materialize(pairs, "pairs")
-        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        needed = materialize(needed.join(self.classes, "cls").select(F.col("cls").alias("want"), F.col("min_id").alias("id")), "needed")
-        docs = keep_ids(self.docs.select(self.id_col, self.text_col), self.id_col, needed)
-        sets = sketches(docs, self.id_col, self.text_col, width=self.width, full=True).select("doc_id", "cls", F.col("sketch").alias("shingles"))
-        sets = sets.join(needed, (F.col("doc_id") == F.col("id")) & (F.col("cls") == F.col("want")))
-        sets = materialize(sets.dropDuplicates(["cls"]).select("cls", "shingles"), "sets")
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+        """Those of ``pairs`` that the estimate leaves open and whose whole sets are similar enough."""
+        pairs = materialize(self.estimated(pairs), "pairs")
+        both = pairs.join(self.sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(self.sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         found = both.where(common * 100 >= (F.size("x") + F.size("y") - common) * self.percent)
         return materialize(found.select("a", "b"), "links")
 
+    def placed(self, groups: DataFrame, edges: DataFrame) -> DataFrame:
+        """``groups`` with the component ``part`` of each member; only groups of several components stay."""
+        parts = components(edges).withColumnRenamed("v", "row")
+        placed = materialize(groups.select("lead", "row", "met").join(parts, "row", "left").select("lead", "row", "met", F.coalesce("root", "row").alias("part")), "placed")
+        several = placed.groupBy("lead").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("lead")
+        return materialize(placed.join(several, "lead"), "open")
+
     def links(self) -> DataFrame:
         """Links between classes whose components are those of all links."""
         groups = self.groups()
-        self.held = self.candidates(groups)
-        stars = groups.where("lead <> cls").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-        edges = self.linked(self.estimated(stars))
-        parts = components(edges).withColumnRenamed("v", "cls")
-        placed = groups.join(parts, "cls", "left").select("lead", "cls", F.coalesce("root", "cls").alias("part"))
-        placed = materialize(placed, "placed")
-        counts = placed.groupBy("lead", "part").agg(F.count("*").alias("n_part"))
-        mixed = counts.groupBy("lead").agg(F.max(F.struct("n_part", "part")).alias("most"), F.count("*").alias("n_parts"), F.sum("n_part").alias("n_all")).where("n_parts > 1")
-        mixed = materialize(mixed.select("lead", F.col("most.part").alias("main"), F.col("most.n_part").alias("n_main"), "n_all"), "mixed")
-        placed = materialize(placed.join(mixed, "lead").withColumn("minor", F.col("part") != F.col("main")), "open")
-
-        small = placed.where(F.col("n_all") <= SMALL)
-        one = small.where("minor").select("lead", F.col("cls").alias("c1"), F.col("part").alias("p1"))
-        two = small.select("lead", F.col("cls").alias("c2"), F.col("part").alias("p2"), F.col("minor").alias("m2"))
+        self.hold(groups)
+        edges = self.linked(groups.where("lead <> row").select(F.least("lead", "row").alias("a"), F.greatest("lead", "row").alias("b")).distinct())
+        opened = self.placed(groups, edges)
+        for _ in range(STARS - 1):
+            # Those who don't hang together with the leader are compared with the one among them who meets most others.
+            own = opened.where("lead = row").select("lead", F.col("part").alias("lead_part"))
+            rest = opened.join(own, "lead").where("part <> lead_part")
+            leads = rest.groupBy("lead").agg(F.max(F.struct("met", "row", "part")).alias("next")).select("lead", F.col("next.row").alias("c1"), F.col("next.part").alias("p1"))
+            pairs = opened.join(materialize(leads, "leads"), "lead").where("part <> p1 and row <> lead")
+            pairs = pairs.select(F.least("c1", "row").alias("a"), F.greatest("c1", "row").alias("b")).distinct()
+            edges = materialize(edges.union(self.linked(pairs)), "edges")
+            opened = self.placed(opened, edges)
+
+        counts = opened.groupBy("lead", "part").agg(F.count("*").alias("n_part"))
+        mixed = counts.groupBy("lead").agg(F.max(F.struct("n_part", "part")).alias("most"), F.sum("n_part").alias("n_all"))
+        mixed = materialize(mixed.select("lead", F.col("most.part").alias("main"), "n_all"), "mixed")
+        opened = materialize(opened.join(mixed, "lead").withColumn("minor", F.col("part") != F.col("main")), "open")
+        small = opened.where(F.col("n_all") <= SMALL)
+        one = small.where("minor").select("lead", F.col("row").alias("c1"), F.col("part").alias("p1"))
+        two = small.select("lead", F.col("row").alias("c2"), F.col("part").alias("p2"), F.col("minor").alias("m2"))
         rest = one.join(two, "lead").where("p1 <> p2 and (not m2 or c1 < c2) and c1 <> lead and c2 <> lead")
-        rest = self.estimated(materialize(rest.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "rest"))
-
-        # Minor and main members have blocks of their own; blocks of two main members need not meet.
-        large = placed.where(F.col("n_all") > SMALL)
-        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-        large = large.withColumn("of_minor", blocks(F.col("n_all") - F.col("n_main"))).withColumn("of_main", blocks(F.col("n_main")))
-        own = F.pmod(F.xxhash64("cls"), F.when(F.col("minor"), F.col("of_minor")).otherwise(F.col("of_main"))).cast("int")
-        large = large.withColumn("own", own)
+        rest = materialize(rest.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "rest")
+        return edges.union(self.linked(rest)).union(self.in_blocks(opened.where(F.col("n_all") > SMALL)))
+
+    def in_blocks(self, large: DataFrame) -> DataFrame:
+        """Verified links across the components of large groups.
+
+        Similar sets are in the same or in neighbouring bands of size, so a
+        group falls into one group per band that also hosts the band below.
+        Blocks of such a group meet in pairs; those of two members of its main
+        component need not. A block holds about ``BLOCK`` sets and ``VALUES`` values.
+        """
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / self.percent) * (1 + 1e-9) if self.percent < 100 else 1e-9)).cast("long")
+        sized = large.join(self.held.select("row", "n"), "row").withColumn("band", band)
+        spread = sized.select("lead", "row", "part", "n", F.explode(F.expr("array(named_struct('band', band, 'home', true), named_struct('band', band + 1, 'home', false))")).alias("b"))
+        spread = spread.select("lead", "row", "part", "n", "b.band", "b.home")
+        counts = spread.groupBy("lead", "band", "part").agg(F.count("*").alias("n_part"), F.sum("n").alias("values"), F.max("home").alias("home"))
+        main = F.max(F.struct("n_part", "part", "values")).alias("main")
+        mixed = counts.groupBy("lead", "band").agg(main, F.count("*").alias("n_parts"), F.sum("n_part").alias("n_all"), F.sum("values").alias("all_values"), F.max("home").alias("home"))
+        mixed = mixed.where("home and n_parts > 1").select("lead", "band", F.col("main.part").alias("main"), F.col("main.n_part").alias("n_main"), F.col("main.values").alias("main_values"), "n_all", "all_values")
+        blocks = lambda n, v: F.ceil(F.greatest(n / BLOCK, v / VALUES)).cast("int")
+        mixed = mixed.withColumn("of_minor", blocks(F.col("n_all") - F.col("n_main"), F.col("all_values") - F.col("main_values"))).withColumn("of_main", blocks(F.col("n_main"), F.col("main_values")))
+        large = spread.join(materialize(mixed, "bands"), ["lead", "band"]).withColumn("minor", F.col("part") != F.col("main"))
+        large = large.withColumn("own", F.pmod(F.xxhash64("row"), F.when(F.col("minor"), F.col("of_minor")).otherwise(F.col("of_main"))).cast("int"))
         meets = F.expr(
             """CASE WHEN minor THEN concat(
                  transform(sequence(0, of_minor - 1), j -> named_struct('i', least(own, j), 'j', greatest(own, j), 'side', if(own <= j, 0, 1))),
                  transform(sequence(0, of_main - 1), j -> named_struct('i', own, 'j', of_minor + j, 'side', 0)))
                ELSE transform(sequence(0, of_minor - 1), i -> named_struct('i', i, 'j', of_minor + own, 'side', 1)) END"""
         )
-        large = large.join(self.held, "cls").select("lead", "cls", "part", "n", "sketch", F.explode(meets).alias("m"))
-        large = large.select("lead", F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), "cls", "part", "n", "sketch")
+        large = large.select("lead", "band", "row", "part", F.explode(meets).alias("m")).join(self.sets, "row")
+        large = large.select("lead", "band", F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), "row", "part", "shingles")
         percent = self.percent
-        large = large.groupBy("lead", "i", "j").applyInArrow(lambda group: likely_pairs(group, percent), "a long, b long").distinct()
-        return edges.union(self.linked(rest.union(large).distinct()))
+        found = large.groupBy("lead", "band", "i", "j").applyInArrow(lambda group: block_links(group, percent), "a long, b long")
+        return materialize(found, "blocks")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
@@ -295,8 +343,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _decided(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
     """What ``near_duplicates`` returns, and ``text_key, root``: a hash of each row's text, and its component by class, null for wordless texts."""
     job = _Job(docs, id_col, text_col, percent, width)
-    parts = components(job.links()).withColumnRenamed("v", "cls")
-    placed = job.classes.select("cls", "min_id").join(parts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    parts = components(job.links()).withColumnRenamed("v", "row")
+    placed = job.classes.join(parts, "row", "left").select("cls", "min_id", F.coalesce("root", "row").alias("root"))
     placed = materialize(placed, "placed")
     least = materialize(placed.groupBy("root").agg(F.min("min_id").alias("component_id")), "roots")
     named = materialize(placed.join(least, "root").select("cls", "root", "component_id"), "named")
@@ -314,8 +362,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     near duplicates all stay; of rows with the same id and no words, one.
     """
     decided = _decided(docs, id_col, text_col, percent, width).where("kept and doc_id is not null")
-    kept = decided.groupBy("doc_id", "root").agg(F.min("text_key").alias("_text_key")).select(F.col("doc_id").alias("_kept"), "_text_key")
-    named = docs.where(F.col(id_col).cast("long").isNotNull()).withColumn("_text_key", text_key(text_col))
-    rows = named.join(kept, (named[id_col].cast("long") == kept["_kept"]) & (named["_text_key"] == kept["_text_key"]), "left_semi")
-    rows = rows.dropDuplicates([id_col, "_text_key"]).select(*docs.columns)
-    return rows.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+    own, key = fresh(docs, "kept_id"), fresh(docs, "text_key")
+    kept = decided.groupBy("doc_id", "root").agg(F.min("text_key").alias(key)).select(F.col("doc_id").alias(own), key)
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(f"{key}_", text_key(text_col))
+    rows = named.join(kept, (named[id_col] == kept[own]) & (named[f"{key}_"] == kept[key]), "left_semi")
+    rows = rows.dropDuplicates([id_col, f"{key}_"]).select(*docs.columns)
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,6 +1,9 @@
 import random
 
+import pyarrow as pa
+
 from brute import near_components
+from settlegrid.llm import near_dup
 from settlegrid.llm.near_dup import drop_near_duplicates, near_duplicates, shingle_set, single_keyed
 
 SCHEMA = "doc_id long, text string"
@@ -84,3 +87,53 @@ def test_drop_keeps_null_ids_and_distinct_texts_of_an_id(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_block_links_are_a_spanning_forest_of_true_links(monkeypatch):
+    monkeypatch.setattr(near_dup, "COLUMNS", 7)
+    draw = random.Random(3)
+    base = [draw.sample(range(100), 20) for _ in range(6)]
+    sets = []
+    for i in range(60):
+        s = set(base[i % 6])
+        for _ in range(draw.randrange(0, 5)):
+            s = s - {draw.choice(sorted(s))} | {draw.randrange(1000)}
+        sets.append(sorted(s))
+    alike = lambda x, y: 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))
+    for side in ([0] * 60, [0] * 25 + [1] * 35):
+        group = pa.table({"side": side, "row": range(60), "part": range(60), "shingles": sets})
+        got = near_dup.block_links(group, 80).to_pylist()
+        want = [(i, j) for i in range(60) for j in range(i + 1, 60) if (side[i] != side[j] or not any(side)) and alike(sets[i], sets[j])]
+        assert all((r["a"], r["b"]) in want for r in got)
+
+        def parts(links):
+            root = list(range(60))
+            for i, j in links:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+            return root
+
+        mine, theirs = parts((r["a"], r["b"]) for r in got), parts(want)
+        assert len(set(mine)) == len(set(theirs)) == 60 - len(got) < 60
+
+
+def test_a_large_group_of_mostly_unlinked_texts(spark):
+    draw = random.Random(21)
+    passage = [f"common{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"d{i}w{k}" for k in range(draw.choice((5, 12, 25, 60)))]
+        rows += [(2 * i, " ".join(passage + own))]
+        if i % 5 == 0:
+            rows += [(2 * i + 1, " ".join(passage + own[:-1]))]
+    want = check(spark, rows, percent=80)
+    assert len(set(want.values())) > 60
+
+
+def test_text_ids_and_helper_names(spark):
+    rows = [("b", "one two three four five six", "p", 1), ("a", "One two three four five six", "q", 2), ("c", "else", "r", 3), (None, "else", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _kept_id string, _text_key int")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {"a": "a", "b": "a", "c": "c", None: None}
+    got = drop_near_duplicates(docs)
+    assert got.columns == docs.columns and sorted(r._text_key for r in got.collect()) == [2, 3, 4]
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
