@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: space and tab to carriage return.
@@ -19,16 +19,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of this machine takes its place.
+    (local tests) a folder of this machine takes its place; elsewhere it must be set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _local_dirs.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="settlegrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local_dirs[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="settlegrid-")
     return found.rstrip("/")
 
 
@@ -56,6 +60,32 @@ def id_type(df: DataFrame, column: str) -> str:
     return df.select(column).schema[0].dataType.simpleString()
 
 
+#: Rows of one cell of a global order; a window never holds more than about one cell.
+CELL_ROWS = 250_000
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the column ``name``: the sum of ``value`` over all rows up to this one in the global ``order``.
+
+    The rows are dealt into cells by ranges of the order, cut at quantiles that
+    Spark samples, so cells are alike in size whatever the keys; sums within a
+    cell add to those of the cells before it. Written before and after the
+    cut, so that a repeated task sees the same cells. Rows alike in ``order`` stand next to each other in no
+    particular order.
+    """
+    cell, total, ahead = fresh(df, "cell"), fresh(df, "total"), fresh(df, "ahead")
+    held = materialize(df.withColumn(total, value.cast("long")), "unordered")
+    session = df.sparkSession
+    cells = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // CELL_ROWS))
+    held = materialize(held.repartitionByRange(cells, *order).withColumn(cell, F.spark_partition_id()), "cells")
+    sums = held.groupBy(cell).agg(F.sum(total).alias(ahead))
+    before = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(cell, F.coalesce(F.sum(ahead).over(before), F.lit(0)).alias(ahead))
+    within = Window.partitionBy(cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn(name, F.sum(total).over(within)).join(sums, cell)
+    return ranked.withColumn(name, F.col(name) + F.col(ahead)).drop(cell, total, ahead)
+
+
 def null_key(column: str) -> Column:
     """A never-null string that differs for null, the empty string and every other value."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
@@ -78,7 +108,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *
 
     The rows with the least draws of the id are taken, so a larger table gives
     as many. Ids are chosen before texts are read; the few chosen ids are
-    joined by broadcast, their number being the bound.
+    joined by broadcast, their number being the bound. Of rows that share an id
+    one gives its text, the one whose text has the least hash.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder))
     usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("label"))
@@ -86,7 +117,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, *
     chosen = usable.withColumn("_draw", uniform(seed, "_id")).orderBy("_draw", "_id").limit(rows)
     chosen = materialize(chosen.select("_id", "label", "_draw"), "chosen")
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return found.select("doc_id", "text", "label")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("label").alias("label"))
 
 
 def send(df: DataFrame, model):

@@ -11,19 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, null_key, uniform
-
-#: Keys of a source are cut into so many cells; a window never holds more than one cell's documents.
-CELLS = 16384
+from .common import WORD, fresh, materialize, null_key, running_total, uniform
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_quality(text: str, size: str) -> Column:
+def text_quality(text: str, size: Column) -> Column:
     """Default quality weight, 1 for a mean word length near 5 characters and less the further from it."""
-    per_word = F.coalesce(F.length(F.col(text)), F.lit(0)) / F.greatest(F.col(size), F.lit(1))
+    per_word = F.coalesce(F.length(F.col(text)), F.lit(0)) / F.greatest(size, F.lit(1))
     return F.lit(1.0) / (F.lit(1.0) + F.abs(per_word - F.lit(6.0)))
 
 
@@ -53,6 +50,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     return ranked.select("skey", "source_size", target.alias("target"))
 
 
+def _keyed(id_col: str, text_col: str, source_col: str, quality: Column | None, seed: int) -> dict[str, Column]:
+    """What decides about a row, as columns of the documents: ``source, skey, size, key``."""
+    size = word_count(text_col)
+    worth = text_quality(text_col, size) if quality is None else F.coalesce(quality.cast("double"), F.lit(0.0))
+    return {
+        "source": F.col(source_col).cast("string"),
+        "skey": null_key(source_col),
+        "size": size,
+        "key": -F.ln(uniform(seed, id_col)) / F.greatest(worth, F.lit(1e-6)),
+    }
+
+
 def mix_counts(
     docs: DataFrame,
     *,
@@ -70,42 +79,54 @@ def mix_counts(
     copies, taken`` with ``taken = copies * size``. ``quality`` is a positive
     weight (null, zero or less counts as the least weight, 1e-6).
 
+    Keys are sorted within their source by one global order of source and key,
+    whose running total less that of the sources before is the prefix sum; no
+    source and no range of keys meets in one task.
+
     Defined cases: null text has size 0; null sources are a source of their own,
-    sorted last; empty documents are never drawn but belong to complete epochs;
-    equal keys (repeated rows) go by id and size; an empty table gives an empty
-    result. A document in which the budget ends is taken if more than half of it fits.
+    sorted last; null ids share one draw; empty documents are never drawn but
+    belong to complete epochs; equal keys (repeated rows) go by id and size; an
+    empty table gives an empty result; texts are read whole, whatever their
+    length; columns other than the three named have no part in it. A document in
+    which the budget ends is taken if more than half of it fits.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), (quality if quality is not None else F.lit(None).cast("double")).alias("given"))
-    base = base.withColumn("size", word_count("text"))
-    worth = text_quality("text", "size") if quality is None else F.coalesce(F.col("given"), F.lit(0.0))
-    base = base.withColumn("key", -F.ln(uniform(seed, "doc_id")) / F.greatest(worth, F.lit(1e-6)))
-    base = base.withColumn("cell", F.floor(F.col("key") / (F.col("key") + 1) * CELLS).cast("int"))
-    base = materialize(base.select("doc_id", "source", null_key("source").alias("skey"), "size", "key", "cell"), "mix")
-
-    cells = base.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"), F.first("source").alias("source"))
-    sizes = cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size"), F.first("source").alias("source"))
-    targets = source_targets(sizes, weights, cap)
-    ahead = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("skey", "cell", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("offset"))
+    base = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in _keyed(id_col, text_col, source_col, quality, seed).items()))
+    placed = materialize(running_total(base, ["skey", "key", "doc_id", "size"], F.col("size"), "upto"), "mix")
+
+    sizes = placed.groupBy("skey").agg(F.sum("size").alias("source_size"), F.first("source").alias("source"))
+    starts = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)
+    targets = source_targets(sizes, weights, cap).withColumn("start", F.coalesce(F.sum("source_size").over(starts), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    cells = cells.join(targets.withColumn("epochs", epochs), "skey")
-    within = Window.partitionBy("skey", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = base.withColumn("upto", F.sum("size").over(within)).join(cells, ["skey", "cell"])
+    placed = placed.join(materialize(targets.withColumn("epochs", epochs), "targets"), "skey")
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
-    middle = F.col("offset") + F.col("upto") - F.col("size") / F.lit(2.0)
+    middle = F.col("upto") - F.col("start") - F.col("size") / F.lit(2.0)
     drawn = F.when((F.col("size") > 0) & (budget > 0) & (middle < budget), F.lit(1)).otherwise(F.lit(0))
-    copies = (F.col("epochs") + drawn).cast("long")
-    return placed.select("doc_id", "source", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    placed = placed.withColumn("drawn", drawn).withColumn("copies", (F.col("epochs") + F.col("drawn")).cast("long"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return placed.select("doc_id", "source", "size", F.col("source_size").cast("long"), "target", "copies", taken, "skey", "key", "epochs", "drawn")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, columns unchanged.
 
-    Rows are matched by ``id_col``; rows that share an id are one document, decided once.
+    What a source draws is a prefix of its order, so its last drawn key tells
+    for every row whether it is drawn: texts are not moved to be matched.
+
+    Defined cases are those of ``mix_counts``; rows alike in id, source and size
+    (repeated rows) share the decision of the last of them; any other columns,
+    whatever their names, stay as they are.
     """
-    id_col = options.get("id_col", "doc_id")
-    counts = mix_counts(docs, **options).where("copies > 0")
-    counts = counts.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mix_id")
-    joined = docs.join(counts, docs[id_col].eqNullSafe(counts["_mix_id"]))
-    repeated = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    counts = materialize(mix_counts(docs, **options), "counts")
+    last = F.max(F.when(F.col("drawn") == 1, F.struct("key", "doc_id", "size")))
+    names = {n: fresh(docs, n) for n in ("skey", "epochs", "last", "row")}
+    ends = counts.groupBy("skey").agg(F.first("epochs").cast("int").alias(names["epochs"]), last.alias(names["last"])).withColumnRenamed("skey", names["skey"])
+    ends = materialize(ends, "ends")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    keyed = _keyed(id_col, text_col, options.get("source_col", "source"), options.get("quality"), options.get("seed", 1729))
+    row = F.struct(keyed["skey"].alias("skey"), F.struct(keyed["key"].alias("key"), F.col(id_col).alias("doc_id"), keyed["size"].alias("size")).alias("at"))
+    joined = docs.withColumn(names["row"], row)
+    joined = joined.join(ends, F.col(names["row"])["skey"] == F.col(names["skey"]))
+    drawn = F.when((F.col(names["row"])["at"]["size"] > 0) & (F.col(names["row"])["at"] <= F.col(names["last"])), 1).otherwise(0)
+    copies = F.col(names["epochs"]) + drawn
+    copies = F.explode(F.array_repeat(F.lit(0), copies))
+    return joined.select(*docs.columns, copies.alias(names["last"])).select(*docs.columns)

@@ -98,13 +98,59 @@ def test_exact_groups_with_collisions_and_small_buckets(spark):
     assert e.exact_duplicates(docs.limit(0)).count() == 0
 
 
-def test_directory_doubles_and_splits():
-    fine = {i: 3 for i in range(16)} | {5: 40}
-    d = e.grow_directory(fine, 12, max_depth=4)
-    assert d.depth == 4 and len(d.buckets) == 16
+def test_directory_doubles_and_splits(spark):
+    draw = random.Random(2)
+    keys = [draw.randrange(-(2**63), 2**63) for _ in range(400)] + [(5 << 58) + i for i in range(60)] + [-1 - i for i in range(40)] + [0]
+    table = spark.createDataFrame([(k,) for k in keys], "key long")
+    d = e.grow_directory(table, 12, bits=5)
     held = Counter()
-    for entry, bucket in enumerate(d.buckets):
-        held[bucket] += fine[entry]
-    assert all(n <= 12 or d.buckets.count(b) == 1 for b, n in held.items())
-    assert list(d.buckets) == sorted(d.buckets)
-    assert e.grow_directory({}, 10).depth == 0
+    for k in keys:
+        h = k % 2**64
+        (number,) = [n for n, (local, prefix) in enumerate(d.leaves) if (h >> (64 - local) if local else 0) == prefix]
+        held[number] += 1
+    assert all(held[n] <= 12 for n in range(len(d.leaves))) and d.depth > 12
+    assert sum(2.0**-local for local, _ in d.leaves) == 1
+    got = e.in_buckets(table, spark.createDataFrame(d.entries(), "entry int, low string, high string, bucket int"))
+    assert Counter(r.bucket for r in got.collect()) == held
+    small = e.grow_directory(table.limit(30), 12, bits=5)
+    assert len(small.buckets) == 2**small.depth and sorted(set(small.buckets)) == list(range(len(small.leaves)))
+    assert e.grow_directory(table.limit(0), 10).leaves == [(0, 0)]
+    same = spark.createDataFrame([(7,)] * 20, "key long")
+    assert e.grow_directory(same, 3).depth == 64
+
+
+def test_without_the_directory_nothing_is_found(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(50), SCHEMA)
+    monkeypatch.setattr(e.Directory, "entries", lambda self, lookup=e.LOOKUP_BITS: [(0, "0" * 16, "0" * 16, 0)])
+    assert e.exact_duplicates(docs).count() == 0
+
+
+def test_sources_of_one_row_leave_the_mixture_alone(spark):
+    rows = [(i, f"t{i}", f"one{i}", 1) for i in range(1500)] + [(5000 + i, f"u{i}", "big", 1) for i in range(1500)] + [(9000 + i, f"v{i}", f"two{i // 2}", 1) for i in range(200)]
+    got = shard_rows(spark.createDataFrame(rows, SCHEMA), 40).collect()
+    held = Counter(r.shard for r in got if r.source == "big")
+    assert all(abs(held[s] - 1500 / 40) <= 3 for s in range(40))
+
+
+def test_nulls_repeats_and_helper_names(spark):
+    names = ["_copies", "_epoch", "_skey", "_epochs", "_last", "_row", "_key", "_nth", "_sid", "_snth", "_kept_id", "_kept_sha", "_Cell", "_total", "_ahead", "shard", "slot"]
+    rows = [(i, f"some words {i}", "s", *range(len(names))) for i in range(6)] + [(None, f"null {i}", None, *range(len(names))) for i in range(3)] + [(None, None, "s", *range(len(names)))] * 2 + [(4, "some words 4", "s", *range(len(names)))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"{n} int" for n in names)]))
+    mixed = mix(docs)
+    assert mixed.columns == docs.columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in mixed.collect())
+    placed = shard_documents(docs, 3)
+    assert Counter(placed.columns) == Counter(docs.columns) and placed.count() == len(rows)
+    assert Counter((r.doc_id, r.text) for r in placed.collect()) == Counter(r[:2] for r in rows)
+    assert len({(r.shard, r.slot) for r in placed.collect()}) == len(rows)
+    kept = e.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(set(r[:2] for r in rows))
+    empty = docs.limit(0)
+    assert mix(empty).count() == shard_documents(empty, 3).count() == e.drop_duplicates(empty).count() == 0
+
+
+def test_one_document_says_two_texts(spark):
+    docs = spark.createDataFrame([(1, "a", "s", 1), (1, "b", "s", 1), (2, "a", "s", 1), (2, "c", "s", 1)], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in e.drop_duplicates(docs).collect()) == [(1, "a"), (1, "b"), (2, "c")]
+    ids = spark.createDataFrame([("b", "a"), ("a", "a ")], "doc_id string, text string")
+    assert {r.keep_id for r in e.exact_duplicates(ids).collect()} == {"a", "b"}
