@@ -21,8 +21,35 @@ def corpus(n=600, seed=3):
 
 
 def score(model, text):
+    return float(model.scores([text], model.word_gains())[0])
+
+
+def test_subwords_are_all_ngrams_and_the_word():
+    words = ["a", "ab", "abc", "abcdefgh", "été", "x" * 40, "abc"]
+    flat, ends = t.subwords(words, 1 << 30)
+    parts = np.split(flat, ends[:-1])
+    for word, part in zip(words, parts):
+        marked = f"<{word}>"
+        assert len(part) == 1 + sum(max(0, len(marked) - n + 1) for n in t.NGRAMS) - (len(marked) in t.NGRAMS)
+    assert np.array_equal(parts[2], parts[6])
+    assert len(set(parts[2].tolist()) & set(parts[3].tolist())) == 3  # <ab, abc and <abc
+    assert len(t.subwords([])[0]) == 0
+
+
+def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
+    texts, labels = corpus(300)
+    model = t.train(texts, labels)
+    long = [" ".join(texts[i : i + 40]) for i in range(0, 200, 40)] + ["", None, "zz", "aa " * 50]
+    whole = model.scores(long, model.word_gains())
     gains = model.word_gains()
-    return model.probability(model.windows(t.words_of(text), gains).max())
+    slow = []
+    for x in long:
+        numbers = t.without_repeats(gains.numbers(t.words_of(x)))
+        top = model.bias + t.window_means(numbers, gains.sums, gains.counts).max()
+        slow.append(1 / (1 + np.exp(-np.clip(model.slope * top + model.shift, -40, 40))))
+    assert np.allclose(whole, slow)
+    monkeypatch.setattr(t, "PIECE", 200)
+    assert np.allclose(model.scores(long[:5], model.word_gains()), whole[:5])
 
 
 def test_learns_and_reads_unseen_spellings():
