@@ -13,8 +13,15 @@ long as the longest token. The end of a word has an output of its own.
 White space puts the transducer back into its start state whatever came before.
 So the map of a chunk of text, from entry state to exit state and count, is
 known from three things: what stands before its first white space, the count
-between, and what stands after its last. Such maps compose associatively;
-a long text is cut into chunks and their maps meet in a balanced scan.
+between, and what stands after its last. Such maps compose associatively:
+a text is cut into chunks whose maps meet in a balanced scan. The chunks of a
+text over ``LONG`` characters are mapped by as many tasks as there are; their small maps
+then meet in one.
+
+What is a letter, a number or white space, how letters become lower-case and
+which marks are reordered depends on the Unicode version that a library was
+built with. So ``Tokenizer.load`` asks the library about every code point, once,
+on the driver; tasks get its answers as ranges.
 """
 
 from __future__ import annotations
@@ -23,26 +30,29 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import receive, send
+from .common import id_type, receive, send
 
 LIMIT = 2048
 CHUNK = 65_536
+#: Texts of more characters are mapped in chunks of this size by several tasks.
+LONG = 1 << 20
 #: Longest prefix that becomes a state.
 DEEP = 64
 _STATES_KEPT = 400_000
 _PAIRS_KEPT = 300_000
 _WORDS_KEPT = 250_000
 _END = "</w>"
-_SPACE = regex.compile(r"\p{White_Space}")
-_LAST_SPACE = regex.compile(r"(?r)\p{White_Space}")
+#: Planes 0 to 3 and the assigned part of 14; no version of Unicode has letters, numbers, spaces or marks elsewhere.
+POINTS = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]
 
 
 def byte_letters() -> list[str]:
@@ -52,13 +62,59 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in stays else chr(next(others)) for b in range(256)]
 
 
+@cache
+def character_ranges(kind: str, below: int = 0x110000) -> str:
+    """What ``kind`` matches under the code point ``below``, by the library's own engine, as the inside of a character class."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = POINTS
+    every = "".join(map(chr, points))
+    found = pre_tokenizers.Split(Regex(f"[{kind}]+"), "removed", invert=True).pre_tokenize_str(every)
+    runs = []
+    for _, (start, end) in found:
+        first, last = points[start], points[end - 1]
+        # Runs that go over a gap between the points must not hold it.
+        gaps = [(0xD7FF, 0xE000), (0x3FFFF, 0xE0000)]
+        for before, after in gaps:
+            if first <= before and after <= last:
+                runs.append((first, before))
+                first = after
+        runs.append((first, last))
+    return "".join(f"{re.escape(chr(x))}-{re.escape(chr(min(y, below - 1)))}" for x, y in runs if x < below)
+
+
+@cache
+def lower_case_exceptions() -> dict[int, str]:
+    """Code points whose lower case the library sees otherwise than ``str.lower``."""
+    from tokenizers import normalizers
+
+    points = [c for c in POINTS if c != 10]
+    lowered = normalizers.Lowercase().normalize_str("\n".join(map(chr, points))).split("\n")
+    return {c: x for c, x in zip(points, lowered) if chr(c).lower() != x}
+
+
+@cache
+def unordered_marks() -> str:
+    """Marks that newer versions of Unicode reorder or compose and the library doesn't: to it nothing moves over them."""
+    from tokenizers import normalizers
+
+    composed, probe = normalizers.NFC(), "\u0327\u0301"
+    points = [c for c in POINTS if unicodedata.category(chr(c))[0] == "M" or unicodedata.combining(chr(c))]
+    return "".join(chr(c) for c in points if unicodedata.normalize("NFC", f"a{chr(c)}{probe}") != composed.normalize_str(f"a{chr(c)}{probe}"))
+
+
 @dataclass
 class Tokenizer:
-    """What of a tokenizer file decides the counts."""
+    """What of a tokenizer file, and of the library that reads it, decides the counts."""
 
     merges: list[tuple[str, str]]
     pattern: str
+    #: The same pattern as far as it concerns Latin-1, for which the engine has a faster way.
+    latin: str
     specials: list[str]
+    space: str = " \\t-\\r"
+    lower: dict[int, str] = field(default_factory=dict)
+    unordered: str = ""
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -70,7 +126,12 @@ class Tokenizer:
         if kinds != ["NFC", "Replace", "Lowercase"] or data["model"]["end_of_word_suffix"] != _END or data["model"]["ignore_merges"]:
             raise ValueError(f"{path} is not a tokenizer of this kind")
         pattern = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        return cls(merges, pattern.replace(r"\s", r"\p{White_Space}"), [t["content"] for t in data["added_tokens"]])
+        latin = pattern
+        for kind in (r"\p{L}", r"\p{N}", r"\s"):
+            pattern, latin = pattern.replace(kind, character_ranges(kind)), latin.replace(kind, character_ranges(kind, 256))
+        if "\\p" in pattern:
+            raise ValueError(f"{path} has a pattern of another kind")
+        return cls(merges, pattern, latin, [t["content"] for t in data["added_tokens"]], character_ranges(r"\s"), lower_case_exceptions(), unordered_marks())
 
 
 class WordTransducer:
@@ -184,10 +245,14 @@ class Counter:
 
     def __init__(self, tokenizer: Tokenizer):
         self.words = WordTransducer(tokenizer.merges)
-        self.pattern = regex.compile(tokenizer.pattern)
-        # The same pattern where all letters are ASCII and lower-case, for the faster engine.
-        self.plain = re.compile(tokenizer.pattern.replace(r"\p{White_Space}", r"\t-\r ").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
-        self.specials = regex.compile("|".join(map(regex.escape, tokenizer.specials))) if tokenizer.specials else None
+        self.pattern, self.latin, self.wide = re.compile(tokenizer.pattern), re.compile(tokenizer.latin), re.compile(r"[^\x00-\xff]")
+        self.simple = not any(c < 256 for c in tokenizer.lower) and not any(c < "\u0100" for c in tokenizer.unordered)
+        self.specials = tokenizer.specials
+        self.special = re.compile("|".join(map(re.escape, tokenizer.specials)))
+        self.space = re.compile(f"[{tokenizer.space}]")
+        self.lower = tokenizer.lower
+        self.odd = re.compile(f"[Σ{''.join(re.escape(chr(c)) for c in tokenizer.lower)}]")
+        self.unordered = re.compile(f"([{re.escape(tokenizer.unordered)}])") if tokenizer.unordered else None
         self.letters = byte_letters()
         self.known = _Known(self._word)
 
@@ -198,26 +263,31 @@ class Counter:
 
     def _piece(self, text: str) -> int:
         """Tokens of text without special strings."""
-        if text.isascii():
-            return sum(map(self.known.__getitem__, self.plain.findall(text.lower())))
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        if self.simple and not self.wide.search(text):
+            return sum(map(self.known.__getitem__, self.latin.findall(text.lower())))
+        if not unicodedata.is_normalized("NFC", text) or self.unordered and self.unordered.search(text):
+            parts = self.unordered.split(text) if self.unordered else [text]
+            text = "".join([unicodedata.normalize("NFC", part) for part in parts])
+        # A sigma at the end of a word is like any other to the library.
+        text = "".join([self.lower.get(ord(c)) or c.lower() for c in text]) if self.odd.search(text) else text.lower()
         return sum(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def run(self, text: str) -> int:
         """Tokens of text whose ends cut no word."""
-        if self.specials is None or "<|" not in text:
+        if not any(s in text for s in self.specials):
             return self._piece(text)
-        pieces = self.specials.split(text)
+        pieces = self.special.split(text)
         return sum(map(self._piece, pieces)) + len(pieces) - 1
 
     def chunk_map(self, text: str) -> tuple[str, int, str] | str:
         """The chunk's map: head, count, tail; or the chunk itself if it has no white space."""
-        first = _SPACE.search(text)
+        first = self.space.search(text)
         if first is None:
             return text
-        last = _LAST_SPACE.search(text)
-        return text[: first.start()], self.run(text[first.start() : last.end()]), text[last.end() :]
+        last = len(text)
+        while not self.space.match(text, last - 1):
+            last -= 1
+        return text[: first.start()], self.run(text[first.start() : last]), text[last:]
 
     def compose(self, a, b):
         """The map of two chunks one after the other."""
@@ -227,26 +297,37 @@ class Counter:
             return a[0], a[1], a[2] + b
         return a[0], a[1] + b[1] + self.run(a[2] + b[0]), b[2]
 
-    def count(self, text: str | None, chunk: int = CHUNK) -> int:
-        if not text:
-            return 0
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+    def scan(self, maps: list) -> tuple[str, int, str] | str:
+        """The map of chunks that follow each other, composed in pairs."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        found = maps[0]
+        return maps[0]
+
+    def total(self, found: tuple[str, int, str] | str) -> int:
+        """Tokens of a whole text, by its map."""
         if isinstance(found, str):
             return self.run(found)
         return self.run(found[0]) + found[1] + self.run(found[2])
 
+    def count(self, text: str | None, chunk: int = CHUNK) -> int:
+        if not text:
+            return 0
+        if len(text) <= chunk:
+            return self.run(text)
+        return self.total(self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
+
 
-def token_counts(docs: DataFrame, tokenizer: Tokenizer, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: Tokenizer, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, long: int = LONG) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    Null counts as the empty text, which has no tokens. Whole texts are counted,
-    without begin or end tokens; special strings in a text are one token each,
-    as the library reads them.
+    Defined cases: null counts as the empty text, which has no tokens; whole
+    texts are counted, without begin or end tokens, those of more than ``long``
+    characters chunk by chunk in several tasks; special strings in a text are
+    one token each, as the library reads them; repeated rows are counted each,
+    null ids and ids of any type pass through; other columns play no part; an empty table gives no rows.
     """
-    sent = send(docs, tokenizer)
+    sent, kind = send(docs, tokenizer), id_type(docs, id_col)
+    names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(receive(sent))
@@ -256,6 +337,38 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, *, id_col: str = "doc_id
                 texts = part.column(1).to_pylist()
                 tokens = np.array([counter.count(t) for t in texts], np.int64)
                 sizes = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                row += 1
+                for nth, start in enumerate(range(0, len(text), long)):
+                    values = batch.column(0).slice(i, 1), pa.array([row], pa.int64()), pa.array([nth], pa.int64()), pa.array([text[start : start + long]])
+                    yield pa.RecordBatch.from_arrays(list(values), ["doc_id", "row", "nth", "chunk"])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(receive(sent))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = batch.column(3)[i].as_py()
+                maps = [counter.chunk_map(chunk[k : k + CHUNK]) for k in range(0, len(chunk), CHUNK)]
+                found = counter.scan(maps)
+                head, count, tail = (found, -1, "") if isinstance(found, str) else found
+                values = pa.array([len(chunk.encode("utf-8", "surrogatepass"))], pa.int64()), pa.array([head]), pa.array([count], pa.int64()), pa.array([tail])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), *values], ["doc_id", "row", "nth", "n_bytes", "head", "n", "tail"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        counter = Counter(receive(sent))
+        rows = group.sort_by("nth").to_pylist()
+        tokens = counter.total(counter.scan([r["head"] if r["n"] < 0 else (r["head"], r["n"], r["tail"]) for r in rows]))
+        return pa.table([group.column("doc_id").slice(0, 1), pa.array([sum(r["n_bytes"] for r in rows)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([tokens > limit])], names)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    result = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
+    is_long = F.coalesce(F.length("text"), F.lit(0)) > long
+    chunks = rows.where(is_long).mapInArrow(cut, f"doc_id {kind}, row long, nth long, chunk string").repartition("row", "nth")
+    maps = chunks.mapInArrow(mapped, f"doc_id {kind}, row long, nth long, n_bytes long, head string, n long, tail string")
+    return rows.where(~is_long).mapInArrow(run, result).unionByName(maps.groupBy("row").applyInArrow(joined, result))

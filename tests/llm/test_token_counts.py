@@ -45,3 +45,22 @@ def test_rows(spark):
     want = library_counts([x or "" for _, x, _ in rows])
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted((str(i), len((x or "").encode()), n, n > 2048) for (i, x, _), n in zip(rows, want))
     assert t.token_counts(docs.limit(0), t.Tokenizer.load(PATH)).count() == 0
+
+
+def test_every_code_point_between_letters():
+    points = [c for c in (*range(0xD800), *range(0xE000, 0x110000)) if c < 0x32000 or c >= 0xE0000 or c % 64 == 0]
+    counter = t.Counter(t.Tokenizer.load(PATH))
+    for start in range(0, len(points), 100_000):
+        texts = [f"a{chr(c)}b {chr(c)}\u0327\u0301{chr(c)}" for c in points[start : start + 100_000]]
+        want = library_counts(texts)
+        wrong = [hex(c) for c, x, n in zip(points[start:], texts, want) if counter.count(x) != n]
+        assert not wrong
+
+
+def test_long_texts_are_counted_by_several_tasks(spark):
+    texts = [" ".join(ODD * 3), "x" * 950, ("ab cd<|endoftext|>" * 70), "no", None]
+    docs = spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(texts)] + [(None, texts[0])], "doc_id string, text string")
+    got = t.token_counts(docs, t.Tokenizer.load(PATH), long=100).collect()
+    want = library_counts([x or "" for x in [*texts, texts[0]]])
+    sizes = [len((x or "").encode()) for x in [*texts, texts[0]]]
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_bytes) for r in got) == sorted(zip([*(f"d{i}" for i in range(5)), "None"], want, sizes))
