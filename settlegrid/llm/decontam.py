@@ -3,9 +3,9 @@
 A benchmark item of n words is looked for in every document window of n words.
 Windows and items have 64-bit SimHash fingerprints over their word shingles,
 each occurrence of a shingle voting once. Fingerprints are cut into blocks; if
-two differ in at most ``RADIUS`` bits, some block differs in at most ``FLIPS``
-bits, so joining on blocks, with those flips enumerated on the items' side,
-finds every pair within the radius. The weighted Jaccard similarity of the
+two differ in fewer than 7 * (f + 1) bits, one of the seven blocks differs in at most f
+bits, so joining on blocks, with f flips enumerated on the items' side,
+finds every pair within that radius. The weighted Jaccard similarity of the
 shingles, occurrences being the weights, then decides.
 
 Fingerprints are made only for windows that can reach the threshold t at all.
@@ -24,16 +24,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .near_dup import keep_ids
 
 WIDTH = 5
-#: Seven blocks with two flips each: 7 * (2 + 1) - 1.
+#: Seven blocks with two flips each reach 7 * (2 + 1) - 1 bits; with few shingles a
+#: fingerprint is rougher, so items of at most ``FEW`` shingles get three flips and 27 bits.
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 FLIPS = 2
-RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
-#: Shingles of the benchmark are broadcast up to this many (16 bytes each), else joined by shuffle.
-BROADCAST_SHINGLES = 1_000_000
+FEW = 24
 
 
 def words(text: str) -> Column:
@@ -75,6 +74,11 @@ def block_keys(fingerprint: str, flips: int) -> Column:
     return F.expr(f"concat({', '.join(keys)})")
 
 
+def radius(flips: int) -> int:
+    """Bits in which fingerprints may differ so that some block differs in at most ``flips``."""
+    return len(BLOCKS) * (flips + 1) - 1
+
+
 def weighted_similarity(a: str, b: str) -> Column:
     """Sum of least over sum of greatest occurrences of the hashes in two arrays."""
     plain = f"size(array_distinct({a})) = size({a}) and size(array_distinct({b})) = size({b})"
@@ -106,24 +110,22 @@ def contaminated(
     at which it begins. A document shorter than an item is one window. Null,
     empty and wordless texts and items match nothing. Rows that share an id are
     one document; a null id is an id like others. Items that are equal are found
-    each. Empty tables give no rows.
+    each. Very long texts are read whole; other columns play no part. Empty tables give no rows.
     """
     items = materialize(_items(benchmark, item_col, item_text_col), "items")
-    widths = [r["width"] for r in items.select("width").distinct().collect()]
     grams = items.select("item_id", "n_words", "width", F.explode(F.array_distinct("hashes")).alias("hash"))
     grams = materialize(grams, "grams")
-    if grams.count() <= BROADCAST_SHINGLES:
-        grams = F.broadcast(grams)
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("w"))
-    anchors = None
-    for width in sorted(widths):
-        spread = rows.select("doc_id", shingles("w", width).alias("h"))
-        spread = spread.select("doc_id", (F.size("h") + width - 1).alias("n"), F.posexplode_outer("h").alias("pos", "hash"))
-        met = spread.join(grams.where(F.col("width") == width).drop("width"), "hash").select("doc_id", "n", "pos", "item_id", "n_words", F.lit(width).alias("width"))
-        anchors = met if anchors is None else anchors.unionByName(met)
-    if anchors is None:
-        return docs.select(F.col(id_col).alias("doc_id")).crossJoin(F.broadcast(benchmark.limit(0).select(F.col(item_col).alias("item_id")))).select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"))
+
+    # One scan makes the shingles of every width; those of no item's width are left out.
+    widths = materialize(items.select("width").distinct(), "widths")
+    wanted = {f"w{k}": F.max(F.when(F.col("width") == k, True)).alias(f"w{k}") for k in range(1, WIDTH + 1)}
+    wanted = widths.agg(*wanted.values()).first()
+    rows = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("w")).withColumn("n", F.size("w"))
+    made = [F.struct(F.lit(k).alias("width"), shingles("w", k).alias("h")) for k in range(1, WIDTH + 1) if wanted[f"w{k}"]]
+    if not made:
+        made = [F.struct(F.lit(WIDTH).alias("width"), F.expr("cast(array() as array<bigint>)").alias("h"))]
+    spread = rows.select("doc_id", "n", F.explode(F.array(*made)).alias("s")).select("doc_id", "n", "s.width", F.posexplode("s.h").alias("pos", "hash"))
+    anchors = spread.join(grams, ["hash", "width"]).select("doc_id", "n", "pos", "item_id", "n_words", "width")
 
     # A window that starts at position p has enough of the item if its m-th anchor from p on is still inside.
     w, k = "(least(n, n_words) - width + 1)", "(n_words - width + 1)"
@@ -144,10 +146,11 @@ def contaminated(
     # Many documents hold the same passage: a passage is fingerprinted and compared once.
     passages = cut.select("n_words", "width", "hashes").distinct().withColumn("passage", F.xxhash64("hashes")).withColumn("mark", simhash("hashes"))
     passages = materialize(passages, "passages")
+    few = F.size("hashes") <= FEW
     marked = materialize(items.withColumn("mark", simhash("hashes")), "marked")
-    probes = marked.select("item_id", "n_words", "width", F.col("mark").alias("item_mark"), F.col("hashes").alias("item_hashes"), F.explode(F.array_distinct(block_keys("mark", FLIPS))).alias("key"))
+    probes = marked.select("item_id", "n_words", "width", F.col("mark").alias("item_mark"), F.when(few, radius(FLIPS + 1)).otherwise(radius(FLIPS)).alias("radius"), F.explode(F.array_distinct(F.when(few, block_keys("mark", FLIPS + 1)).otherwise(block_keys("mark", FLIPS)))).alias("key"))
     keyed = passages.select("n_words", "width", "passage", "mark", F.explode(block_keys("mark", 0)).alias("key"))
-    close = keyed.join(probes.drop("item_hashes"), ["n_words", "width", "key"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
+    close = keyed.join(probes, ["n_words", "width", "key"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= F.col("radius"))
     close = materialize(close.select("n_words", "width", "passage", "item_id").distinct(), "close")
     compared = close.join(passages.select("n_words", "width", "passage", "hashes"), ["n_words", "width", "passage"])
     compared = compared.join(items.select("item_id", "n_words", "width", F.col("hashes").alias("item_hashes")), ["item_id", "n_words", "width"])
@@ -159,8 +162,17 @@ def contaminated(
     return found.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("int").alias("start"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found."""
-    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_found")).distinct()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in which no item is found.
+
+    Rows that share an id are one document and stay or go together; rows
+    with a null id are told apart by their texts, so one that holds an item takes no
+    other with it. Null, empty and wordless texts stay, very long texts are
+    read whole, other columns, whatever their names, stay as they are; without items every row stays.
+    """
+    key = fresh(docs, "key")
+    named = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("t"), F.xxhash64(text_col).cast("string")))
+    texts = docs.select(named.alias("doc_id"), F.col(text_col).alias("text"))
+    found = contaminated(texts, benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
     found = materialize(found, "contaminated")
-    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")
+    return docs.withColumn(f"{key}_", named).join(found, F.col(f"{key}_") == F.col(key), "left_anti").select(*docs.columns)

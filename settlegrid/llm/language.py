@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, materialize, receive, send
+from .common import id_type, labelled_sample, materialize, receive, send
 
 DIMENSIONS = 1024
 #: At most so many labelled rows make the prototypes.
 TRAINING_ROWS = 8000
 UNDETERMINED = "und"
 _PART = 128
+#: Letters that are bundled at a time, and kinds of n-grams whose vectors exist at a time.
+LETTERS = 1 << 18
+KINDS = 2048
 _letters: dict[int, np.ndarray] = {}
 
 
@@ -51,28 +54,56 @@ def letters_of(text: str | None) -> np.ndarray:
 
 
 def bundle(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled vectors of the texts, a row each, and which of them have letters."""
-    parts = [letters_of(t) for t in texts]
-    vectors = np.zeros((len(texts), DIMENSIONS), np.float32)
-    some = np.array([len(p) > 2 for p in parts], bool)
-    rows = np.flatnonzero(some)
-    if not len(rows):
-        return vectors, some
-    alphabet, codes = np.unique(np.concatenate([parts[i] for i in rows]), return_inverse=True)
+    """Bundled vectors of the texts, a row each, and which of them have letters.
+
+    Texts are taken some ``LETTERS`` at a time, a longer one in pieces, so
+    memory doesn't grow with them. All sums are whole numbers in double
+    precision, exact whatever is summed first.
+    """
+    vectors = np.zeros((len(texts), DIMENSIONS))
+    some = np.zeros(len(texts), bool)
+    rows, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        for letters in pieces_of(text):
+            some[i] = True
+            rows.append(i)
+            parts.append(letters)
+            size += len(letters)
+            if size >= LETTERS:
+                _add(vectors, rows, parts)
+                rows, parts, size = [], [], 0
+    if parts:
+        _add(vectors, rows, parts)
+    return vectors, some
+
+
+def pieces_of(text: str | None) -> Iterator[np.ndarray]:
+    """The text's letters in pieces of at most ``LETTERS``, each but the first starting with the two letters before it; nothing without letters."""
+    letters = letters_of(text)
+    for start in range(0, max(0, len(letters) - 2), LETTERS):
+        yield letters[start : start + LETTERS + 2]
+
+
+def _add(vectors: np.ndarray, rows: list[int], parts: list[np.ndarray]) -> None:
+    """Add the n-gram vectors of each part to its row."""
+    alphabet, codes = np.unique(np.concatenate(parts), return_inverse=True)
     base = len(alphabet)
-    sizes = [len(parts[i]) for i in rows]
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    whole = owner[2:] == owner[:-2]
+    owner = np.repeat(rows, [len(p) for p in parts])
+    piece = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    whole = piece[2:] == piece[:-2]
     grams = ((codes[:-2] * base + codes[1:-1]) * base + codes[2:])[whole]
     kinds, column = np.unique(grams, return_inverse=True)
-    counts = np.bincount(owner[2:][whole] * len(kinds) + column, minlength=len(rows) * len(kinds)).reshape(len(rows), len(kinds)).astype(np.float32)
+    places, place = np.unique(owner[2:][whole], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, place = column[order], place[order]
     plain = np.stack([letter_vector(int(c)) for c in alphabet])
     once, twice = np.roll(plain, 1, 1), np.roll(plain, 2, 1)
-    for start in range(0, len(kinds), 4096):
-        k = kinds[start : start + 4096]
+    for start in range(0, len(kinds), KINDS):
+        low, high = np.searchsorted(column, (start, start + KINDS))
+        k = kinds[start : start + KINDS]
+        counts = np.bincount(place[low:high] * len(k) + column[low:high] - start, minlength=len(places) * len(k)).reshape(len(places), len(k))
         bound = twice[k // (base * base)] * once[k // base % base] * plain[k % base]
-        vectors[rows] += counts[:, start : start + 4096] @ bound.astype(np.float32)
-    return vectors, some
+        vectors[places] += counts.astype(np.float32) @ bound.astype(np.float32)
 
 
 @dataclass
@@ -97,7 +128,8 @@ class Profiles:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         units = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) - self.common
         units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
-        cosines = units @ self.prototypes.T
+        # One language at a time, so that a row's sum doesn't depend on the rows beside it.
+        cosines = np.stack([(units * p).sum(1) for p in self.prototypes], 1)
         best = cosines.argmax(1)
         score = np.clip((1 + cosines[np.arange(len(texts)), best]) / 2, 0, 1)
         return [self.languages[b] if s else UNDETERMINED for b, s in zip(best, some)], np.where(some, score, 0.0)
@@ -132,6 +164,9 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
     ``lang_pred`` is ``und`` and the score 0 for a null text or one without
     letters, and for every text if nothing was learned. The score is the cosine,
     moved to 0..1; equal cosines go to the first language in alphabetical order.
+    Very long texts are bundled whole, piece by piece; repeated rows are judged
+    each, null ids and ids of any type pass through; other columns play no part;
+    an empty table gives no rows.
     """
     sent = send(docs, profiles)
 
@@ -143,4 +178,5 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
                 names, scores = own.identify(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, lang_pred string, score double")

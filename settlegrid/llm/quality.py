@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, receive, send
+from .common import id_type, labelled_sample, receive, send
 
 #: At most so many labelled rows are used for training.
 TRAINING_ROWS = 8000
@@ -202,14 +202,19 @@ def train_on(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_c
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.list_(pa.float64()))], ["doc_id", "label", "features"])
 
-    made = sample.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, features array<double>")
+    made = sample.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, f"doc_id {id_type(docs, id_col)}, label int, features array<double>")
     rows = sorted(made.collect())
     values = np.array([r["features"] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     return fit(values, np.array([r["label"] for r in rows]))
 
 
 def quality(docs: DataFrame, model: AdditiveModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: ``doc_id, score, predicted``; null and wordless texts have the features of an empty text."""
+    """One row per input row: ``doc_id, score, predicted``.
+
+    Defined cases: null and wordless texts have the features of an empty text;
+    very long texts are read whole; repeated rows are scored each, null ids and
+    ids of any type pass through; other columns play no part; an empty table gives no rows.
+    """
     sent = send(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,4 +225,5 @@ def quality(docs: DataFrame, model: AdditiveModel, *, id_col: str = "doc_id", te
                 scores = own.score(_rows(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, score double, predicted int")

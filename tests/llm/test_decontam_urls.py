@@ -95,3 +95,12 @@ def test_model_reads_hosts_it_never_saw(spark):
     rows = [(0, "http://mega-casino-slots.example.io/bonus"), (1, "http://porn-cams.example.io/xxx"), (2, "http://the-library.example.io/en/guide"), (3, "http://news-archive.example.io/article/5")]
     got = {r.page_id: r.verdict for r in u.judge(spark.createDataFrame(rows, "page_id long, url string"), u.train(spark)).collect()}
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
+def test_null_ids_go_for_their_own_texts_only(spark):
+    item = " ".join(f"word{i}" for i in range(12))
+    docs = spark.createDataFrame([(None, item, 1, "x"), (None, "clean", 2, "y"), (None, None, 3, "z"), ("a", f"start {item} end", 4, "w"), ("b", "clean", 5, "v")], "doc_id string, text string, _key int, _key_ string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r._key for r in left.collect()) == [2, 3, 5]
+    assert drop_contaminated(docs, bench.limit(0)).count() == 5 and drop_contaminated(docs.limit(0), bench).count() == 0

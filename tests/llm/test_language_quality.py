@@ -75,3 +75,17 @@ def test_quality_rows_and_defined_cases(spark):
     empty = q.train_on(docs, marks.limit(0), modulus=5, remainder=0)
     assert {r.score for r in q.quality(docs, empty).collect()} == {0.5}
     assert q.quality(docs.limit(0), empty).count() == 0
+
+
+def test_pieces_and_neighbours_change_nothing(monkeypatch):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcdé ñ日本") for _ in range(draw.randrange(0, 400))) for _ in range(30)] + [None, "", "12 ?"]
+    vectors, some = lang.bundle(texts)
+    monkeypatch.setattr(lang, "LETTERS", 37)
+    monkeypatch.setattr(lang, "KINDS", 11)
+    again, also = lang.bundle(texts)
+    assert np.array_equal(vectors, again) and np.array_equal(some, also)
+    profiles = lang.Profiles.of({"a": vectors[0], "b": vectors[1], "c": vectors[2]})
+    whole = profiles.identify(texts)
+    one = [profiles.identify([x]) for x in texts]
+    assert whole[0] == [n[0] for n, _ in one] and np.array_equal(whole[1], np.concatenate([s for _, s in one]))
