@@ -7,12 +7,16 @@ coefficients within one projection.
 
 from __future__ import annotations
 
+import uuid
+from random import Random
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from .common import shared_dir
+
+BUCKETS = 2048
 SIZES = (3, 4, 5)
 THRESHOLD = 0.5
 
@@ -24,29 +28,53 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 
-#: Labelled hosts and paths, blocked and allowed.
-BLOCKED = (
-    "casino-bonus.example.com/slots", "best-casino.example.org/poker/win", "pills.example.com/cheap-viagra",
-    "xxx-videos.example.org/porn", "free-porn.example.com/hot", "adult-cams.example.org/live", "warez.example.com/crack/keygen",
-    "torrent-files.example.org/download/crack", "click-ads.example.com/track?x", "ad-tracker.example.org/pixel.gif",
-    "payday-loan.example.com/apply-now", "cheap-loans.example.org/instant", "bet365-odds.example.com/betting",
-    "sports-betting.example.org/bet", "replica-watches.example.com/buy", "free-money.example.org/win-prize",
-    "lottery-winner.example.com/claim", "spam-offers.example.org/click-here", "malware.example.com/setup.exe",
-    "phishing-login.example.org/verify-account", "escort-girls.example.com/cams", "forex-signals.example.org/get-rich",
-    "crypto-doubler.example.com/bonus", "seo-links.example.org/buy-links", "slots.example.com/casino/jackpot",
-    "popup-ads.example.org/banner/click", "nude-cams.example.com/adult", "gamble.example.org/roulette-casino",
-)
-ALLOWED = (
-    "library.example.com/en/catalog", "docs.example.org/guide/install", "news.example.com/fr/2021/article",
-    "blog.example.org/en/1234", "wiki.example.com/page/history", "university.example.org/research/paper",
-    "www.example.com/en/about", "m.example.com/de/5678.html", "museum.example.org/collection/item", "school.example.com/lessons/math",
-    "science.example.org/journal/volume", "garden.example.com/plants/roses", "recipes.example.org/soup/tomato",
-    "weather.example.com/forecast/today", "maps.example.org/city/streets", "history.example.com/es/991",
-    "music.example.org/albums/2004", "travel.example.com/guides/lisbon", "health.example.org/advice/sleep",
-    "forum.example.com/thread/4521", "code.example.org/project/readme", "books.example.com/chapter/3",
-    "radio.example.org/programme/archive", "law.example.com/statutes/title", "blog.theory.example.com/en/7198",
-    "www.station.example.org/fr/25930", "m.nation.example.com/en/9897/", "therein.example.org/en/35332/",
-)
+#: Words of unwanted and of harmless sites and paths, from which the labelled table is composed.
+UNWANTED = (
+    "casino poker slots jackpot roulette blackjack bingo lottery gamble gambling bet bets betting odds wager bookmaker tipster spins bonus win winner prize jackpots "
+    "pills viagra cialis pharma meds steroids slimming diet enlargement payday loan loans credit cash money rich profit forex crypto doubler "
+    "cheap replica fake discount free offer offers deal click clicks ads adserver ad banner popup track tracker tracking pixel affiliate spam "
+    "linkfarm farm seo backlinks traffic porn xxx adult sex cams nude escort dating hookup warez crack keygen serial torrent pirate malware virus phishing verify-login hack exploit"
+).split()
+HARMLESS = (
+    "library archive docs guide manual news press blog journal wiki encyclopedia university college school academy museum gallery science research theory physics chemistry biology "
+    "history garden plants flowers recipes kitchen bakery weather forecast maps city council village station railway airport travel hotel island mountain river lake forest nature animals birds "
+    "music concert orchestra theatre cinema film books poetry novel author radio television sport football tennis swimming cycling health hospital clinic dentist pharmacy law court notary "
+    "code software project developer database compiler kernel network forum community people family children parents nation government embassy army police fire church "
+    "market shop store furniture clothing shoes bicycle car motor engine energy water house building architect design paint photo camera art craft paper pen mail post phone"
+).split()
+#: Beginnings, middles and ends of syllables, for invented names.
+ONSETS = "b c d f g h j k l m n p r s t v w y z bl br ch cl cr dr fl fr gl gr pl pr sh sl sp st th tr wh".split()
+VOWELS = "a e i o u ea ee ou".split()
+CODAS = ["", *"n r s l t d m nd st sh ng ck nt".split()]
+#: Invented names that are harmless, so that letters which mean nothing count as calm.
+INVENTED = 1500
+ENDINGS = ("com", "org", "net", "info", "co.uk", "de", "fr", "es")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """``url, label`` (1: unwanted): words in pairs as hosts, alone below a subdomain and in paths.
+
+    Invented names, languages and numbers in paths stand on both sides, so that
+    they tell nothing.
+    """
+    found, draw = [], Random(2024)
+    name = lambda: "".join(draw.choice(ONSETS) + draw.choice(VOWELS) + draw.choice(CODAS) for _ in range(draw.randrange(1, 4)))
+    for label, words in ((1, UNWANTED), (0, HARMLESS)):
+        other = HARMLESS if label else UNWANTED
+        for i, word in enumerate(words):
+            second, third, end = words[(i * 7 + 3) % len(words)], words[(i * 11 + 5) % len(words)], ENDINGS[i % len(ENDINGS)]
+            language = ("en", "de", "fr", "es")[i % 4]
+            found += [
+                (f"http://{word}-{second}.{end}/{language}/{i * 37}", label),
+                (f"https://www.{word}{third}.{end}/{name()}", label),
+                (f"https://{name()}.{end}/{word}/{second}", label),
+                (f"http://{('www', 'm', 'blog', 'shop')[i % 4]}.{word}.{end}/{language}/{name()}.html", label),
+            ]
+            if i % 3 == 0:
+                # A harmless word does not clear an unwanted host, nor does an unwanted one in a path damn a library.
+                found.append((f"http://{word}-{third}.{end}/{other[i % len(other)] if label else name()}/{i}", label))
+    found += [(f"http://{('www.', 'm.', 'blog.', '')[i % 4]}{name()}.{ENDINGS[i % 8]}/{('en', 'de', 'fr', 'es')[i // 4 % 4]}/{name()}/{i * 13}", 0) for i in range(INVENTED)]
+    return found
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -68,32 +96,38 @@ def rule_for(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
 
 
 def buckets() -> Column:
-    """Distinct hashed n-grams of ``host`` and ``path``, each with marks at its ends."""
+    """Distinct hashed n-grams of ``host`` and ``path``, each with marks at its ends and every number as one 0."""
     parts = []
     for mark, column in (("h", "host"), ("p", "path")):
-        for n in SIZES:
-            marked = f"concat('<', {column}, '>')"
-            parts.append(f"if(length({column}) + 2 < {n}, array(), transform(sequence(1, length({column}) + {3 - n}), i -> cast(pmod(xxhash64('{mark}', substring({marked}, i, {n})), {BUCKETS}) as int)))")
+        plain = f"concat('<', regexp_replace(lower({column}), '[0-9]+', '0'), '>')"
+        each = ", ".join(f"if(length(t) < {n}, array(), transform(sequence(1, length(t) - {n - 1}), i -> cast(pmod(xxhash64('{mark}', substring(t, i, {n})), {BUCKETS}) as int)))" for n in SIZES)
+        parts.append(f"transform(array({plain}), t -> concat({each}))[0]")
     return F.array_distinct(F.expr(f"concat({', '.join(parts)})"))
 
 
-def train(spark: SparkSession, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED) -> tuple[list[float], float]:
+def train(spark: SparkSession, table: list[tuple[str, int]] | None = None) -> tuple[list[float], float]:
     """Coefficients and intercept; label 1 is ``block``."""
-    values = ", ".join(f"('http://{u}', {y})" for us, y in ((blocked, 1.0), (allowed, 0.0)) for u in us)
-    table = spark.sql(f"SELECT col1 AS url, CAST(col2 AS double) AS label FROM VALUES {values}")
+    rows = labelled_urls() if table is None else table
+    values = ", ".join(f"('{u}', {y})" for u, y in rows)
     host, path = host_and_path("url")
-    table = table.select("label", host.alias("host"), path.alias("path")).withColumn("b", buckets())
-    dense = F.expr(f"transform(sequence(0, {BUCKETS - 1}), i -> if(array_contains(b, cast(i as int)), 1.0D, 0.0D))")
-    model = LogisticRegression(maxIter=50, regParam=0.02).fit(table.select("label", array_to_vector(dense).alias("features")).coalesce(1))
+    found = spark.sql(f"SELECT col1 AS url, col2 AS label FROM VALUES {values}").select("label", host.alias("host"), path.alias("path"))
+    # Written as sparse vectors in a format that Spark's own reader knows.
+    marks = F.array_join(F.transform(F.sort_array(buckets()), lambda b: F.concat((b + 1).cast("string"), F.lit(":1"))), " ")
+    path = f"{shared_dir(spark)}/settlegrid/urls-{uuid.uuid4().hex}"
+    found.coalesce(1).select(F.concat_ws(" ", "label", marks).alias("value")).write.text(path)
+    vectors = spark.read.format("libsvm").option("numFeatures", BUCKETS).load(path)
+    model = LogisticRegression(maxIter=25, regParam=0.02).fit(vectors)
     return [float(c) for c in model.coefficients], float(model.intercept)
 
 
 def judge(pages: DataFrame, model: tuple[list[float], float], *, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, score, verdict``.
 
-    Without a rule the regression decides: ``block`` from a probability of 0.5
-    on. Empty hosts and paths have no n-grams but those of their marks. An empty
-    table gives no rows.
+    Without a rule the regression decides: ``block`` from a probability of
+    ``THRESHOLD`` on. Null urls and those without ``://`` have an empty host and path, whose
+    only n-grams are those of their marks. Very long urls are read whole,
+    repeated rows judged each, null ids pass through, other columns play no
+    part. An empty table gives no rows.
     """
     weights, bias = model
     host, path = host_and_path(url_col)

@@ -104,3 +104,16 @@ def test_null_ids_go_for_their_own_texts_only(spark):
     left = drop_contaminated(docs, bench)
     assert left.columns == docs.columns and sorted(r._key for r in left.collect()) == [2, 3, 5]
     assert drop_contaminated(docs, bench.limit(0)).count() == 5 and drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_table_teaches_words_it_holds_back(spark):
+    from pyspark.sql import functions as F
+
+    rows = u.labelled_urls()
+    held = [r for i, r in enumerate(rows) if i // 4 % 5 == 0]
+    model = u.train(spark, [r for i, r in enumerate(rows) if i // 4 % 5])
+    pages = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(held)], "page_id long, url string, y int")
+    judged = u.judge(pages, model, rules=()).join(pages, "page_id").groupBy("y").agg(F.avg((F.col("verdict") == "block").cast("int")).alias("share"))
+    share = {r.y: r.share for r in judged.collect()}
+    assert share[1] >= 0.5 and share[0] <= 0.03
+    assert u.judge(spark.createDataFrame([(None, "http://x.io/casino-12"), (1, "http://x.io/casino-9999")], "page_id long, url string"), model).select("score").distinct().count() == 1
