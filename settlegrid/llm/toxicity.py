@@ -38,7 +38,7 @@ TRAINING_LENGTH = 20_000
 LEAST_TEXTS = 4
 WINDOW = 3
 REPEAT = 8
-ROUNDS = 5
+ROUNDS = 3
 FIRST_EPOCHS = 4
 #: Weight of texts without known n-grams in each batch.
 UNKNOWN = 0.3
@@ -88,13 +88,18 @@ def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
 
 
 class _Lexicon:
-    """Numbers for the words of training texts, and the buckets of each word in one flat array."""
+    """Numbers for the words of training texts, and the buckets of each word in one flat array.
+
+    Texts are kept as numbers, and n-grams are spread out for a few texts or words at a time only.
+    """
 
     def __init__(self, texts: Iterable[str | None], buckets: int = BUCKETS):
         self.buckets, self.number = buckets, {}
         self.texts = [self._numbers(t) for t in texts]
-        self.flat, ends = subwords(list(self.number), buckets)
-        self.starts = np.r_[0, ends].astype(np.int64)
+        words = list(self.number)
+        made = [subwords(words[i : i + 4096], buckets) for i in range(0, len(words), 4096)]
+        self.flat = np.concatenate([flat for flat, _ in made] or [np.empty(0, np.int32)])
+        self.starts = np.r_[0, np.cumsum(np.concatenate([np.diff(ends, prepend=0) for _, ends in made] or [np.zeros(0, np.int64)]))].astype(np.int32)
         held = np.zeros(buckets, np.int32)
         for words in self.texts:
             held[np.unique(self.spread(np.unique(words))[0])] += 1
@@ -109,8 +114,8 @@ class _Lexicon:
     def spread(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the words, one after the other, and how many each has."""
         first, sizes = self.starts[words], self.starts[words + 1] - self.starts[words]
-        ends = np.cumsum(sizes)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)], sizes
+        ends = np.cumsum(sizes, dtype=np.int32)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(first - ends + sizes, sizes)], sizes
 
     def gains(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By word number, the summed gain of its buckets and how many they are."""
@@ -260,7 +265,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, lexicon: _Lexicon, *, dimens
     vectors = draw.normal(0, 0.1, (buckets, dimensions)).astype(np.float32)
     weights = draw.normal(0, 0.5, (dimensions, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    seen = np.zeros(buckets, bool)
+    seen, slot = np.zeros(buckets, bool), np.zeros(buckets, np.int32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, weights, bias)]
     step = 0
     for _ in range(epochs):
@@ -269,13 +274,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, lexicon: _Lexicon, *, dimens
             chosen = order[start : start + batch]
             step += 1
             words = np.concatenate([rows[i] for i in chosen])
-            of = np.repeat(np.arange(len(chosen)), [len(rows[i]) for i in chosen])
+            of = np.repeat(np.arange(len(chosen), dtype=np.int32), [len(rows[i]) for i in chosen])
             index, sizes = lexicon.spread(words)
             owner = np.repeat(of, sizes)
             share = (1 / np.bincount(owner, minlength=len(chosen)))[owner].astype(np.float32)
             known = lexicon.known[index]
             index, owner, share = index[known], owner[known], share[known]
-            unique, inverse = np.unique(index, return_inverse=True)
+            unique = np.flatnonzero(np.bincount(index, minlength=buckets))
+            slot[unique] = np.arange(len(unique))
+            inverse = slot[index]
             held = vectors[unique]
             mean = np.stack([np.bincount(owner, held[inverse, d] * share, len(chosen)) for d in range(dimensions)], 1).astype(np.float32)
             logits = mean * 20 @ weights + bias
@@ -303,7 +310,7 @@ def train(texts: Iterable[str | None], labels: np.ndarray, *, rounds: int = ROUN
     words = lexicon.texts
     fitted = np.arange(len(words)) % 5 != 4
     rows = np.flatnonzero(fitted)
-    model = fit([words[i] for i in rows], labels[rows], lexicon, epochs=FIRST_EPOCHS)
+    model = fit([words[i] for i in rows], labels[rows], lexicon, epochs=FIRST_EPOCHS, batch=16)
     if labels[rows].sum() in (0, len(rows)):
         return model
     calm = []
