@@ -38,7 +38,7 @@ TRAINING_LENGTH = 20_000
 LEAST_TEXTS = 4
 WINDOW = 3
 REPEAT = 8
-ROUNDS = 3
+ROUNDS = 5
 FIRST_EPOCHS = 4
 #: Weight of texts without known n-grams in each batch.
 UNKNOWN = 0.3
