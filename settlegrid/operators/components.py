@@ -12,7 +12,10 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     session = df.sparkSession
     sc = session.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="settlegrid-"))
+        found = session.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="settlegrid-"))
     return df.checkpoint()
 
 

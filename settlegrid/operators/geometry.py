@@ -15,13 +15,16 @@ Ring = np.ndarray
 
 
 def parse_wkb(data: bytes | None) -> tuple[str, list]:
-    """Kind and parts: ``polygon`` with lists of rings, ``line`` with point arrays, ``point``; ``empty`` for null and others.
+    """Kind and parts: ``polygon`` with lists of rings, ``line`` with point arrays, ``point``; ``empty`` for null, others and what can't be read.
 
     Multi-part kinds and collections give the parts of the kind they start with.
     """
     if not data:
         return "empty", []
-    kind, parts, _ = _read(data, 0)
+    try:
+        kind, parts, _ = _read(data, 0)
+    except (struct.error, IndexError, ValueError, KeyError):
+        return "empty", []
     return kind, parts
 
 

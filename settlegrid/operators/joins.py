@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from settlegrid.functions.spatial import cell_of, cells_over
+from settlegrid.functions.spatial import cells_over
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 #: Up to this many boxes a broadcast nested loop is cheaper than spreading boxes over cells.
@@ -29,13 +29,29 @@ def static_join(entities: DataFrame, boxes: DataFrame, condition: Column) -> Dat
     return near.join(F.broadcast(boxes), condition)
 
 
+def static_join_in_blocks(entities: DataFrame, boxes: DataFrame, condition: Column, key: str) -> DataFrame:
+    """``static_join`` for any number of boxes: the boxes, cut by their distinct ``key``, take turns in blocks of ``STATIC_BOXES``.
+
+    One scan of the entities a block, so for many boxes ``grid_join`` is the better way to the same rows.
+    """
+    keys = [r[0] for r in boxes.select(key).orderBy(key).toLocalIterator()]
+    blocks = [boxes.where(F.col(key).between(keys[i], keys[min(i + STATIC_BOXES, len(keys)) - 1])) for i in range(0, len(keys), STATIC_BOXES)]
+    found = entities.join(boxes, F.lit(False))
+    for block in blocks:
+        found = found.unionByName(static_join(entities, block, condition))
+    return found
+
+
 def grid_join(entities: DataFrame, boxes: DataFrame, condition: Column) -> DataFrame:
-    """The same rows through an equi-join: an entity has the cell of its middle, boxes a halo of cells.
+    """The same rows through an equi-join: an entity, however wide, has all cells that it covers, boxes theirs and a halo.
 
-    Holds for entities under a unit wide and high. No pair comes twice, as an entity has one cell.
+    A pair whose boxes meet does so in the cell of its south-west corner, the
+    greater of the two least coordinates; only there it counts, so no pair comes twice.
     """
-    placed = entities.withColumn("cell_x", cell_of(F.col("xmin"), F.col("xmax"))).withColumn("cell_y", cell_of(F.col("ymin"), F.col("ymax")))
-    return placed.join(box_cells(boxes), ["cell_x", "cell_y"]).where(condition).drop("cell_x", "cell_y")
+    floor = lambda c: F.floor(F.col(c)).cast("int")
+    placed = entities.withColumn("cell_x", F.explode(F.sequence(floor("xmin"), floor("xmax")))).withColumn("cell_y", F.explode(F.sequence(floor("ymin"), floor("ymax"))))
+    once = (F.col("cell_x") == F.floor(F.greatest("xmin", "min_lon"))) & (F.col("cell_y") == F.floor(F.greatest("ymin", "min_lat")))
+    return placed.join(box_cells(boxes), ["cell_x", "cell_y"]).where(once & condition).drop("cell_x", "cell_y")
 
 
 def window_join(entities: DataFrame, boxes: DataFrame, condition: Column) -> DataFrame:

@@ -98,8 +98,8 @@ def indicators(features: DataFrame, half: float = 1000.0, step: float = 1.0, mos
         out = dict.fromkeys(names) | {"loc_key": rows["loc_key"].iloc[0], "status": "done"}
         try:
             out |= window_indicators(rows.sort_values("id"), half, step, most_shifts=most_shifts)
-        except ValueError as error:
-            out |= {"status": "failed", "error": str(error)[:500]}
+        except Exception as error:
+            out |= {"status": "failed", "error": f"{type(error).__name__}: {error}"[:500]}
         return pd.DataFrame([out], columns=names)
 
     return features.groupBy("loc_key").applyInPandas(run, SCHEMA)

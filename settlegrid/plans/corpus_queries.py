@@ -81,9 +81,9 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.crossings(curve, "x", "density", "dynamic", 0.0, group="grp").select("grp", R("d_star_sparse", "d_star_sparse"), R("d_star_dense", "d_star_dense"))
 
 
-@query("w13_average_rank", "SELECT l_orderkey, l_linenumber, l_quantity, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2.0::DOUBLE AS place FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("w13_average_rank", "SELECT l_orderkey, l_linenumber, l_quantity, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2.0::DOUBLE AS place FROM lineitem")
 def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    rows = views.table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", "l_quantity", st.average_rank("l_quantity", "l_linenumber").alias("place"))
 
 
@@ -176,13 +176,21 @@ def e23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.features(spark, sf_dir).groupBy("grp").agg(R(st.sample_skewness("f1"), "skew"), F.count("*").alias("n")).where("n > 2").drop("n")
 
 
-@query("p17_adaptive_bins", views.sql("q AS (SELECT quantile_cont(f1, 0.005) AS lo, quantile_cont(f1, 0.995) AS hi FROM v_feat) SELECT CAST(least(35, greatest(0, floor((f1 - lo) / (hi - lo) * 36))) AS BIGINT) AS bin, count(*) AS n FROM v_feat, q GROUP BY 1", "v_feat"))
+_BINS = """x AS (SELECT 'plain' AS scale, f1 AS v FROM v_feat UNION ALL SELECT 'skewed', exp(f2 * 4.0::DOUBLE / (SELECT stddev_samp(f2) FROM v_feat)) FROM v_feat),
+s AS (SELECT scale, abs(skewness(v)) > 2 AS long_tail, greatest(1e-6::DOUBLE, 1e-6::DOUBLE - min(v)) AS shift FROM x GROUP BY scale),
+t AS (SELECT scale, CASE WHEN long_tail THEN log10(v + shift) ELSE v END AS v FROM x JOIN s USING (scale)),
+q AS (SELECT scale, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM t GROUP BY scale)
+SELECT scale, CAST(least(35, greatest(0, floor((v - lo) / (hi - lo) * 36))) AS BIGINT) AS bin, count(*) AS n FROM t JOIN q USING (scale) GROUP BY 1, 2"""
+
+
+@query("p17_adaptive_bins", views.sql(_BINS, "v_feat"))
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """36 bins between the outer half percents, ends clipped into the first and last; the scale stays linear while |skew| is at most 2."""
-    rows = views.features(spark, sf_dir)
-    ends = rows.agg(F.percentile("f1", 0.005).alias("lo"), F.percentile("f1", 0.995).alias("hi"))
-    at = F.floor((F.col("f1") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 36)
-    return rows.crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(35), F.greatest(F.lit(0), at)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    """36 bins of a feature whose scale stays linear and of one whose long tail makes it logarithmic."""
+    rows = views.features(spark, sf_dir).select("f1", "f2")
+    spread = rows.agg(F.stddev_samp("f2")).first()[0]
+    plain, skewed = rows.select(F.col("f1").alias("v")), rows.select(F.exp(F.col("f2") * 4.0 / F.lit(spread)).alias("v"))
+    both = [st.adaptive_bins(x, "v").groupBy("bin").agg(F.count("*").alias("n")).select(F.lit(name).alias("scale"), "bin", "n") for name, x in (("plain", plain), ("skewed", skewed))]
+    return both[0].union(both[1])
 
 
 @query("p18_composite_group", views.sql("SELECT id, CASE WHEN grp = 0 THEN id % 6 ELSE 5 + CASE WHEN grp = 1 THEN 1 ELSE 2 END END AS shown FROM v_feat", "v_feat"))

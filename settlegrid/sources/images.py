@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 #: Colours of the layers: fixed values.
-ROAD, BUILDING, EDGE, VIRTUAL, DOT = (200, 200, 200), (60, 60, 60), (40, 90, 200), (240, 160, 40), (230, 30, 30)
+ROAD, BUILDING, EDGE, VIRTUAL, DOT = (208, 208, 208), (105, 105, 105), (0, 90, 230), (120, 190, 255), (230, 30, 30)
 
 
 def png(image: np.ndarray, notes: dict[str, str] | None = None) -> bytes:

@@ -49,19 +49,31 @@ def done_keys(store: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class ResultStore:
-    """A versioned store in a folder. One writer at a time."""
+    """A versioned store in a folder. One writer at a time.
+
+    A write adds a version and then a pointer to it with the next number; the
+    pointer with the highest number counts. Pointers are only ever added, so a
+    crash at any moment leaves the state before or after the write.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str):
         self.spark, self.path, self.keys, self.schema = spark, path.rstrip("/"), keys, schema
 
     def _current(self) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.path}/_current").collect()
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-        return rows[0][0] if rows else None
+        return self._newest()[1]
+
+    def _newest(self) -> tuple[int, str | None]:
+        """Number and version of the newest pointer; (0, None) for a new store."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        files = jvm.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(jvm.Path(f"{self.path}/_pointers")):
+            if files.globStatus(jvm.Path(f"{self.path}/v-*")):
+                raise RuntimeError(f"{self.path} has versions but no pointer to one; remove what an unfinished first write left")
+            return 0, None
+        newest = self.spark.read.schema("number long, version string").json(f"{self.path}/_pointers").where("number is not null").orderBy(F.col("number").desc()).first()
+        if newest is None:
+            raise RuntimeError(f"{self.path}/_pointers holds no pointer")
+        return newest["number"], newest["version"]
 
     def read(self) -> DataFrame:
         """The store; columns added to the schema since it was written are NULL."""
@@ -71,8 +83,9 @@ class ResultStore:
 
     def _write(self, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
+        number, _ = self._newest()
         df.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
+        self.spark.createDataFrame([(number + 1, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{self.path}/_pointers")
 
     def upsert(self, rows: DataFrame) -> None:
         self._write(upsert(self.read(), rows, self.keys))

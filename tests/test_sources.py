@@ -116,3 +116,38 @@ def test_whole_windows_through_the_command_line(spark, tmp_path):
     assert cli.main(["status", "--store", other], spark) == 0
     assert cli.main(["export", "--csv", str(tmp_path / "csv"), "--store", other], spark) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == len(rows)
+
+
+def test_wide_entities_meet_by_grid_and_statically(spark):
+    from pyspark.sql import functions as F
+
+    from settlegrid.operators.joins import grid_join, static_join
+
+    entities = spark.createDataFrame([(1, 0.1, 0.1, 7.9, 3.2), (2, 2.5, 1.5, 2.6, 1.6), (3, -3.5, -2.0, 2.0, 1.0), (4, 9.0, 9.0, 9.0, 9.0)], "ent_id int, xmin double, ymin double, xmax double, ymax double")
+    boxes = spark.createDataFrame([(i, x, y, x + 0.5, y + 0.5) for i, (x, y) in enumerate([(0.0, 0.0), (2.4, 1.4), (5.0, 3.0), (-3.6, -2.2), (2.0, 1.0), (7.9, 3.2), (8.9, 8.9), (9.0, 9.0)])], "loc_id int, min_lon double, min_lat double, max_lon double, max_lat double")
+    touch = (F.col("xmax") >= F.col("min_lon")) & (F.col("xmin") <= F.col("max_lon")) & (F.col("ymax") >= F.col("min_lat")) & (F.col("ymin") <= F.col("max_lat"))
+    rows = [sorted((r.ent_id, r.loc_id) for r in join(entities, boxes, touch).collect()) for join in (static_join, grid_join)]
+    assert rows[0] == rows[1] and len(rows[0]) > 6
+
+
+def test_a_lost_pointer_is_an_error_and_not_an_empty_store(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    from settlegrid.sources.results import ResultStore
+
+    store = ResultStore(spark, str(tmp_path / "s"), ["k"], "k int, status string, error string")
+    assert store.read().count() == 0
+    for k in (1, 2):
+        store.upsert(spark.createDataFrame([(k, "done", None)], "k int, status string, error string"))
+    assert store.read().count() == 2
+    shutil.rmtree(tmp_path / "s" / "_pointers")
+    with pytest.raises(RuntimeError):
+        store.upsert(spark.createDataFrame([(3, "done", None)], "k int, status string, error string"))
+
+
+def test_unreadable_geometry_is_empty():
+    from settlegrid.operators.geometry import parse_wkb
+
+    assert parse_wkb(b"\x01\x03\x00") == ("empty", []) and parse_wkb(b"\x01") == ("empty", []) and parse_wkb(None) == ("empty", [])
