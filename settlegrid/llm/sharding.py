@@ -53,7 +53,7 @@ def shard_rows(
     ranked = base.join(sources, "skey").withColumn("fraction", fraction).withColumn("tie", uniform(seed + 2, "skey", "nth"))
     placed = running_total(ranked.drop("draw", "nth", "first", "offset", "of_source"), ["fraction", "tie", "skey"], F.lit(1), "place")
     placed = materialize(placed.withColumn("place", F.col("place") - 1), "placed")
-    placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("of_all"))))
+    placed = placed.withColumn("of_all", F.lit(placed.count()))
     placed = placed.withColumn("shard", F.expr(f"cast(place * {shards} div of_all as int)"))
     first = F.expr(f"(shard * of_all + {shards - 1}) div {shards}")
     placed = placed.withColumn("slot", (F.col("place") - first).cast("long"))
