@@ -2,7 +2,7 @@
 
 Words are cut into hashed character n-grams. The vectors of all n-grams in a
 window of a few words are averaged and a two-class softmax sits on the average;
-vectors and softmax are trained together by Adam, in numpy, on the driver. A
+vectors and softmax are trained together by Adam, in numpy, in one task. A
 misspelt word that training never saw shares most of its n-gram vectors with
 the word it bends.
 
@@ -304,9 +304,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, lexicon: _Lexicon, *, dimens
     return SubwordSoftmax(np.where(seen, 20 * vectors @ difference, 0).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(texts: Iterable[str | None], labels: np.ndarray, *, rounds: int = ROUNDS) -> SubwordSoftmax:
+def train(texts: Iterable[str | None] | _Lexicon, labels: np.ndarray, *, rounds: int = ROUNDS) -> SubwordSoftmax:
     """Fit on whole texts, refit on top windows, calibrate on every fifth row."""
-    labels, lexicon = np.asarray(labels, np.int64), _Lexicon(texts)
+    labels, lexicon = np.asarray(labels, np.int64), texts if isinstance(texts, _Lexicon) else _Lexicon(texts)
     words = lexicon.texts
     fitted = np.arange(len(words)) % 5 != 4
     rows = np.flatnonzero(fitted)
@@ -351,11 +351,32 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, quiet: float, steps: int =
 
 
 def train_on(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", modulus: int, remainder: int) -> SubwordSoftmax:
-    """A model from at most ``TRAINING_ROWS`` labelled rows that aren't held out, with texts of at most ``TRAINING_LENGTH`` characters."""
+    """A model from at most ``TRAINING_ROWS`` labelled rows that aren't held out, with texts of at most ``TRAINING_LENGTH`` characters.
+
+    Training runs in one task, to which those rows are sent: a lost executor
+    costs another try with the same rows in the same order, and the driver
+    holds the model only. A sample without rows gives the model of no rows.
+    """
     short = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= TRAINING_LENGTH)
     sample = labelled_sample(short, labels, label, TRAINING_ROWS, id_col=id_col, text_col=text_col, modulus=modulus, remainder=remainder)
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", F.col("label").cast("int").alias("label")).toArrow()
-    return train((t.as_py() for t in rows.column("text")), rows.column("label").to_numpy())
+    rows = sample.select(F.xxhash64("doc_id").alias("draw"), "doc_id", "text", F.col("label").cast("int").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: list[int] = []
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                labels.extend(batch.column(3).to_pylist())
+                yield from (t.as_py() for t in batch.column(2))
+
+        lexicon = _Lexicon(texts())
+        model = train(lexicon, np.array(labels, np.int64))
+        yield pa.RecordBatch.from_pydict({"gain": pa.array([model.gain.tobytes()], pa.binary()), "bias": [model.bias], "slope": [float(model.slope)], "shift": [float(model.shift)]})
+
+    made = rows.repartition(1).sortWithinPartitions("draw", "doc_id").mapInArrow(run, "gain binary, bias double, slope double, shift double").collect()
+    if not made:
+        return train((), np.zeros(0))
+    return SubwordSoftmax(np.frombuffer(made[0].gain, np.float32), made[0].bias, made[0].slope, made[0].shift)
 
 
 def toxicity(docs: DataFrame, model: SubwordSoftmax, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
