@@ -94,12 +94,12 @@ def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.log_slope(views.curves(spark, sf_dir), "g", "d", "series").select("series", R("slope", "slope"), R("intercept", "intercept"), R("r2", "r2"), "n")
 
 
-TAU = "tau0 AS (SELECT series, (d - 1) * 0.5::DOUBLE - 1 AS q, g * 3 - 1 AS tau FROM v_curve WHERE d <= 21)"
+TAU = "tau0 AS (SELECT series, (d - 1) * 0.5::DOUBLE - 1 AS q, g * 3 - 1 AS tau FROM v_curve)"
 
 
 def _tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rising curves in place of measured mass exponents, q from -1 by halves."""
-    return views.curves(spark, sf_dir).where("d <= 21").select("series", ((F.col("d") - 1) * 0.5 - 1).alias("q"), (F.col("g") * 3 - 1).alias("tau"))
+    return views.curves(spark, sf_dir).select("series", ((F.col("d") - 1) * 0.5 - 1).alias("q"), (F.col("g") * 3 - 1).alias("tau"))
 
 
 SMOOTH = """ends AS (SELECT *, first_value(tau) OVER w AS a, last_value(tau) OVER (PARTITION BY series ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z,

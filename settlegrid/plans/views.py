@@ -74,8 +74,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``u, v, length``: a sparse graph of at most 120 nodes, shortest of parallel edges."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 41 = 0")
+    """``u, v, length``: all lines folded into a graph of 120 nodes, shortest of parallel edges."""
+    items = table(spark, sf_dir, "lineitem")
     a, b = F.col("l_orderkey") * 31 % 120, F.col("l_partkey") * 17 % 120
     length = (F.lit(1) + (F.col("l_orderkey") * 13 + F.col("l_partkey") * 7) % 997).cast("double")
     pairs = items.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), length.alias("length")).where("u < v")
@@ -118,7 +118,7 @@ SQL = {
     + " FROM embeddings",
     "v_edge": """SELECT u, v, min(length) AS length FROM (
         SELECT least(l_orderkey * 31 % 120, l_partkey * 17 % 120) AS u, greatest(l_orderkey * 31 % 120, l_partkey * 17 % 120) AS v,
-        CAST(1 + (l_orderkey * 13 + l_partkey * 7) % 997 AS DOUBLE) AS length FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 41 = 0)
+        CAST(1 + (l_orderkey * 13 + l_partkey * 7) % 997 AS DOUBLE) AS length FROM lineitem)
         WHERE u < v GROUP BY u, v""",
 } | {
     f"v_store_{w}": f"""SELECT o_custkey % 500 AS key, CASE WHEN o_orderstatus <> 'F' THEN 'done' ELSE 'failed' END AS status,
