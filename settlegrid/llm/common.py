@@ -36,14 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *, sparse: bool = False) -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 
     The result has no lineage to what made it: a lost executor costs a re-read,
     not a recomputation, and branches that start from it don't repeat the scan.
+    ``sparse`` tables are the little that a wide stage leaves: their rows are
+    moved once more, into as few files as their size needs, instead of one small file a task.
     """
     path = f"{shared_dir(df.sparkSession)}/settlegrid/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if sparse else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

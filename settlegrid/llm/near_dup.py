@@ -216,7 +216,7 @@ class _Job:
         both = F.when(F.col("n_shingles") <= single_keyed(self.percent), F.concat(runs, singles)).otherwise(runs)
         keys = heads.select("row", F.explode(F.array_distinct(both)).alias("key"))
         lists = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-        shared = materialize(keys.join(materialize(lists, "lists"), "key"), "shared")
+        shared = materialize(keys.join(materialize(lists, "lists", sparse=True), "key"), "shared")
         met = materialize(shared.groupBy("row").agg(F.sum("held").alias("met")), "met")
         shared = materialize(shared.join(met, "row").select("key", "row", "met"), "shared")
         leads = materialize(shared.groupBy("key").agg(F.max(F.struct("met", "row"))["row"].alias("lead")), "leads")
@@ -253,11 +253,11 @@ class _Job:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` that the estimate leaves open and whose whole sets are similar enough."""
-        pairs = materialize(self.estimated(pairs), "pairs")
+        pairs = materialize(self.estimated(pairs), "pairs", sparse=True)
         both = pairs.join(self.sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(self.sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         found = both.where(common * 100 >= (F.size("x") + F.size("y") - common) * self.percent)
-        return materialize(found.select("a", "b"), "links")
+        return materialize(found.select("a", "b"), "links", sparse=True)
 
     def placed(self, groups: DataFrame, edges: DataFrame) -> DataFrame:
         """``groups`` with the component ``part`` of each member; only groups of several components stay."""
@@ -290,7 +290,7 @@ class _Job:
         one = small.where("minor").select("lead", F.col("row").alias("c1"), F.col("part").alias("p1"))
         two = small.select("lead", F.col("row").alias("c2"), F.col("part").alias("p2"), F.col("minor").alias("m2"))
         rest = one.join(two, "lead").where("p1 <> p2 and (not m2 or c1 < c2) and c1 <> lead and c2 <> lead")
-        rest = materialize(rest.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "rest")
+        rest = materialize(rest.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "rest", sparse=True)
         return edges.union(self.linked(rest)).union(self.in_blocks(opened.where(F.col("n_all") > SMALL)))
 
     def in_blocks(self, large: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ class _Job:
         large = large.select("lead", "band", F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), "row", "part", "shingles")
         percent = self.percent
         found = large.groupBy("lead", "band", "i", "j").applyInArrow(lambda group: block_links(group, percent), "a long, b long")
-        return materialize(found, "blocks")
+        return materialize(found, "blocks", sparse=True)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
