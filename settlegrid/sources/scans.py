@@ -92,14 +92,36 @@ class ChunkedExtract:
 
 
 def locations_from_text(spark: SparkSession, text: str, kind: str) -> DataFrame:
-    """``lat, lon, name`` from a CSV or JSON list; ``coords: [lat, lon]`` stands for both. Countries named NA stay text."""
+    """``lat, lon, name`` from a CSV, JSON or YAML list; ``coords: [lat, lon]`` stands for both. Countries named NA stay text."""
     if kind == "csv":
         rows = list(csv.DictReader(io.StringIO(text)))
     else:
-        rows = json.loads(text)
-        rows = rows["locations"] if isinstance(rows, dict) else rows
+        rows = parse_yaml(text) if kind == "yaml" else json.loads(text)
+        rows = rows["locations"] if isinstance(rows, dict) else rows or []
     made = []
     for row in rows:
         lat, lon = row["coords"] if "coords" in row else (row["lat"], row["lon"])
         made.append((float(lat), float(lon), row.get("name")))
     return spark.createDataFrame(made, "lat double, lon double, name string")
+
+
+def parse_yaml(text: str):
+    """YAML as plain values; the parser is an optional dependency."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("YAML lists and settings need the package pyyaml") from error
+    return yaml.safe_load(text)
+
+
+def cache_source(spark: SparkSession, cache_dir: str) -> DataFrame | None:
+    """The clustered table of a cache if it is there, else its chunks, else None.
+
+    Chunks count only where the manifest lists them: one that a crash cut short is not read.
+    """
+    jvm, base = spark._jvm.org.apache.hadoop.fs, cache_dir.rstrip("/")
+    final = jvm.Path(f"{base}/final/_SUCCESS")
+    if final.getFileSystem(spark._jsc.hadoopConfiguration()).exists(final):
+        return spark.read.parquet(f"{base}/final")
+    chunks = [f"{base}/chunk_{n:04d}" for n in sorted(ChunkedExtract(spark, base).done())]
+    return spark.read.parquet(*chunks) if chunks else None

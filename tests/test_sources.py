@@ -1,6 +1,7 @@
 """Stores, caches, streams, statistics that have no SQL."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from settlegrid import cli
@@ -151,3 +152,32 @@ def test_unreadable_geometry_is_empty():
     from settlegrid.operators.geometry import parse_wkb
 
     assert parse_wkb(b"\x01\x03\x00") == ("empty", []) and parse_wkb(b"\x01") == ("empty", []) and parse_wkb(None) == ("empty", [])
+
+
+def test_lists_and_settings_in_yaml():
+    from settlegrid.config import DEFAULTS, settings
+
+    changed = settings("analysis:\n  percolation:\n    d_steps: 7\ncanvas: {half_size_m: 500}\n")
+    assert changed["analysis"]["percolation"]["d_steps"] == 7 and changed["analysis"]["percolation"]["d_max"] == 2000
+    assert changed["canvas"]["half_size_m"] == 500 and DEFAULTS["canvas"]["half_size_m"] == 1000
+    assert settings() == DEFAULTS == settings("")
+    with pytest.raises(ValueError):
+        settings("- 1\n")
+
+
+def test_yaml_locations(spark):
+    made = scans.locations_from_text(spark, "locations:\n- {name: NA, lat: 1, lon: 2}\n- {coords: [3, 4]}\n", "yaml").collect()
+    assert [tuple(r) for r in made] == [(1.0, 2.0, "NA"), (3.0, 4.0, None)]
+    assert scans.locations_from_text(spark, "", "yaml").count() == 0
+
+
+def test_cache_is_read_from_its_table_else_its_listed_chunks(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    assert scans.cache_source(spark, cache) is None
+    for n in range(2):
+        spark.range(n + 1).write.parquet(f"{cache}/chunk_{n:04d}")
+    assert scans.cache_source(spark, cache) is None
+    spark.createDataFrame([(0, 1)], "chunk int, rows long").write.json(f"{cache}/manifest")
+    assert scans.cache_source(spark, cache).count() == 1
+    spark.range(9).write.parquet(f"{cache}/final")
+    assert scans.cache_source(spark, cache).count() == 9
