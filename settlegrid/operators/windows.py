@@ -17,19 +17,32 @@ from settlegrid.operators import network, raster
 SCHEMA = "loc_key string, status string, error string, n_buildings long, n_building_nodes long, density double, count_density double, footprint_mean double, footprint_median double, road_density double, lacunarity_mean double, lacunarity_slope double, d0 double, d1 double, d2 double, delta_d double, mfa_alpha_width double, s_alpha double, r_crit double, perc_dcrit double, perc_gmax double, w_trans double, gamma double, curve_d array<double>, curve_g array<double>, curve_r array<long>, curve_lambda array<double>"
 
 
+#: Least number of partitions that windows are dealt to.
+DEALS = 64
+
+
+def dealt(features: DataFrame, key: str) -> DataFrame:
+    """``features`` by ``key`` in a fixed number of partitions: a window costs time, not bytes, so adaptive execution, which merges small partitions, would put many in one task."""
+    return features.repartition(max(DEALS, int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def clip_features(rows: pd.DataFrame, lat: float, lon: float, half: float) -> tuple[list, list]:
     """Polygons (lists of rings) and ``(width, line)`` of a window in its local frame."""
+    shapes = [(kind, part, width) for data, width in zip(rows["geometry"], rows["width"]) for kind, parts in [g.parse_wkb(data)] for part in parts if kind == "polygon" or (kind == "line" and len(part) > 1)]
+    # All points of the window at once, each ring and each line a group.
+    given = [points for kind, part, _ in shapes for points in (part if kind == "polygon" else [part])]
+    sizes = [len(points) for points in given]
+    every = np.concatenate([np.empty((0, 2)), *given])
+    local = np.column_stack(g.to_local(every[:, 0], every[:, 1], lon, lat, np.repeat(np.arange(len(given)), sizes)))
+    found = iter(np.split(local, np.cumsum(sizes)[:-1]) if given else [])
     polygons, lines = [], []
-    local = lambda p: np.column_stack(g.to_local(p[:, 0], p[:, 1], lon, lat))
-    for data, width in zip(rows["geometry"], rows["width"]):
-        kind, parts = g.parse_wkb(data)
-        for part in parts:
-            if kind == "polygon":
-                rings = [r for r in (g.clip_ring(local(ring), half) for ring in part) if len(r)]
-                if rings:
-                    polygons.append(rings)
-            elif kind == "line" and len(part) > 1:
-                lines += [(float(width) if width == width else 5.0, x) for x in g.clip_line(local(part), half)]
+    for kind, part, width in shapes:
+        if kind == "polygon":
+            rings = [r for r in [g.clip_ring(next(found), half) for _ in part] if len(r)]
+            if rings:
+                polygons.append(rings)
+        else:
+            lines += [(float(width) if width == width else 5.0, x) for x in g.clip_line(next(found), half)]
     return polygons, lines
 
 
@@ -102,4 +115,4 @@ def indicators(features: DataFrame, half: float = 1000.0, step: float = 1.0, mos
             out |= {"status": "failed", "error": f"{type(error).__name__}: {error}"[:500]}
         return pd.DataFrame([out], columns=names)
 
-    return features.groupBy("loc_key").applyInPandas(run, SCHEMA)
+    return dealt(features, "loc_key").groupBy("loc_key").applyInPandas(run, SCHEMA)

@@ -120,6 +120,7 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def made_up_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``loc_key, lat, lon, id, geometry, width``: squares of 4 m at occupied pixels and a street grid, as WKB in degrees."""
+    from settlegrid.operators.windows import dealt
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -128,11 +129,15 @@ def made_up_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         loc = int(part["loc"].iloc[0])
         lat, lon = 35.0 + loc, 139.0 - loc
-        degrees = lambda pts: np.column_stack(from_local(pts[:, 0], pts[:, 1], lon, lat))
         square = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
-        rows = [(f"b{i}", write_wkb("polygon", [degrees(square + (c - 64.0, 60.0 - r))]), np.nan) for i, (r, c) in enumerate(part[["row", "col"]].sort_values(["row", "col"]).to_numpy())]
-        streets = [np.array([(-64.0, y), (64.0, y + 3)]) for y in (-40, 0, 40)] + [np.array([(x, -64.0), (x, 64.0)]) for x in (-30, 35)]
-        rows += [(f"s{i}", write_wkb("line", degrees(p)), 4.0 + i) for i, p in enumerate(streets)]
+        corners = part[["row", "col"]].sort_values(["row", "col"]).to_numpy()
+        shapes = [square + (c - 64.0, 60.0 - r) for r, c in corners]
+        shapes += [np.array([(-64.0, y), (64.0, y + 3)]) for y in (-40, 0, 40)] + [np.array([(x, -64.0), (x, 64.0)]) for x in (-30, 35)]
+        sizes, every = [len(s) for s in shapes], np.concatenate(shapes)
+        degrees = np.column_stack(from_local(every[:, 0], every[:, 1], lon, lat, np.repeat(np.arange(len(shapes)), sizes)))
+        degrees, n = np.split(degrees, np.cumsum(sizes)[:-1]), len(corners)
+        rows = [(f"b{i}", write_wkb("polygon", [p]), np.nan) for i, p in enumerate(degrees[:n])]
+        rows += [(f"s{i}", write_wkb("line", p), 4.0 + i) for i, p in enumerate(degrees[n:])]
         return pd.DataFrame(rows, columns=["id", "geometry", "width"]).assign(loc_key=f"{lat:.4f}_{lon:.4f}", lat=lat, lon=lon)[["loc_key", "lat", "lon", "id", "geometry", "width"]]
 
-    return views.pixels(spark, sf_dir).groupBy("loc").applyInPandas(run, "loc_key string, lat double, lon double, id string, geometry binary, width double")
+    return dealt(views.pixels(spark, sf_dir), "loc").groupBy("loc").applyInPandas(run, "loc_key string, lat double, lon double, id string, geometry binary, width double")

@@ -193,3 +193,33 @@ def test_made_up_windows_hold_every_pixel_and_all_shifts(spark):
     key = min(got)
     want = window_indicators(rows[rows["loc_key"] == key].sort_values("id"), 64.0, most_shifts=16)
     assert got[key].d0 == round(want["d0"], 4) and got[key].n_buildings == want["n_buildings"]
+
+
+def test_shapes_converted_together_are_as_each_alone():
+    draw = np.random.default_rng(8)
+    shapes = [draw.uniform(-70, 70, (n, 2)) for n in draw.integers(2, 9, 200)]
+    group, every = np.repeat(np.arange(len(shapes)), [len(s) for s in shapes]), np.concatenate(shapes)
+    lon, lat = geometry.from_local(every[:, 0], every[:, 1], 136.0, 38.0, group)
+    x, y = geometry.to_local(lon, lat, 136.0, 38.0, group)
+    for i, shape in enumerate(shapes):
+        own = geometry.from_local(shape[:, 0], shape[:, 1], 136.0, 38.0)
+        assert np.array_equal(own, (lon[group == i], lat[group == i]))
+        assert np.array_equal(geometry.to_local(*own, 136.0, 38.0), (x[group == i], y[group == i]))
+    assert np.abs(x - every[:, 0]).max() < 1e-6 and np.abs(y - every[:, 1]).max() < 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+def test_a_window_is_converted_at_once_and_windows_are_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from settlegrid.operators import windows
+    from settlegrid.plans import graph_queries
+
+    made = graph_queries.made_up_windows(spark, SF_DIR)
+    assert made.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    assert graph_queries.g1(spark, SF_DIR).select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    rows = made.where("loc_key = '38.0000_136.0000'").toPandas()
+    calls, convert = [], geometry.to_local
+    monkeypatch.setattr(geometry, "to_local", lambda *a: calls.append(len(a[0])) or convert(*a))
+    polygons, lines = windows.clip_features(rows, 38.0, 136.0, 64.0)
+    assert len(calls) == 1 and len(polygons) == len(rows) - 5 and len(lines) == 5
