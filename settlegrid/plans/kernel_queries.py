@@ -79,7 +79,7 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
         image = g.burn_lines(lines, 64.0)
         return pd.DataFrame([(rows["loc_key"].iloc[0], int((image > 0).sum()), int(image.max()))], columns=["loc_key", "n", "most"])
 
-    return made_up_windows(spark, sf_dir).groupBy("loc_key").applyInPandas(run, "loc_key string, n long, most long")
+    return windows.dealt(made_up_windows(spark, sf_dir), "loc_key").groupBy("loc_key").applyInPandas(run, "loc_key string, n long, most long")
 
 
 @query("n5_network_build")

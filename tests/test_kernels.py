@@ -223,3 +223,13 @@ def test_a_window_is_converted_at_once_and_windows_are_many_tasks(spark, monkeyp
     monkeypatch.setattr(geometry, "to_local", lambda *a: calls.append(len(a[0])) or convert(*a))
     polygons, lines = windows.clip_features(rows, 38.0, 136.0, 64.0)
     assert len(calls) == 1 and len(polygons) == len(rows) - 5 and len(lines) == 5
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+def test_street_windows_are_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from settlegrid.plans import kernel_queries
+
+    burnt = kernel_queries.g5(spark, SF_DIR).select("n", F.spark_partition_id().alias("task")).collect()
+    assert {r.n for r in burnt} == {3615} and len({r.task for r in burnt}) > 1
