@@ -109,7 +109,7 @@ def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
         image = images.overlay(g.burn_lines(lines, 64.0), g.fill(polygons, 64.0), net.nodes, net.edges(), 64.0)
         return pd.DataFrame([(images.image_name(lat, lon), images.png(image, {"lat": str(lat), "lon": str(lon)}))], columns=["name", "png"])
 
-    return made_up_windows(spark, sf_dir).groupBy("loc_key").applyInPandas(run, "name string, png binary").select("name", F.octet_length("png").alias("bytes"))
+    return windows.dealt(made_up_windows(spark, sf_dir), "loc_key").groupBy("loc_key").applyInPandas(run, "name string, png binary").select("name", F.octet_length("png").alias("bytes"))
 
 
 FOREST = """e AS (SELECT *, row_number() OVER (ORDER BY length, u, v) AS k FROM v_edge), w AS (SELECT k, u AS a, v AS b FROM e UNION ALL SELECT k, v, u FROM e),

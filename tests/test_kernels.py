@@ -233,3 +233,27 @@ def test_street_windows_are_many_tasks(spark):
 
     burnt = kernel_queries.g5(spark, SF_DIR).select("n", F.spark_partition_id().alias("task")).collect()
     assert {r.n for r in burnt} == {3615} and len({r.task for r in burnt}) > 1
+
+
+def test_dots_of_many_buildings_cost_their_own_pixels():
+    import time
+
+    draw = np.random.default_rng(6)
+    nodes = [(float(x), float(y), "building") for x, y in [*draw.uniform(-520, 520, (3000, 2)), (-500, 500), (500, -500), (0, 0), (-502.5, 3)]]
+    blank = np.zeros((1000, 1000), np.uint8)
+    began = time.process_time()
+    image = images.overlay(blank, blank, nodes, [], 500.0)
+    assert time.process_time() - began < 4
+    few = images.overlay(blank[:100, :100], blank[:100, :100], nodes[::20], [], 500.0)
+    y, x = np.mgrid[:100, :100]
+    near = [(x - (a + 500) / 10) ** 2 + (y - (500 - b) / 10) ** 2 <= 2.5**2 for a, b, _ in nodes[::20]]
+    assert np.array_equal((few == images.DOT).all(-1), np.any(near, 0)) and (image[0, 0] == images.DOT).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+def test_overlay_windows_are_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from settlegrid.plans import kernel_queries
+
+    assert kernel_queries.k10(spark, SF_DIR).select(F.spark_partition_id().alias("task")).distinct().count() > 1
