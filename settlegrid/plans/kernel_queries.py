@@ -94,7 +94,7 @@ def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = network.statistics(edges, len(net.nodes))
         return pd.DataFrame([(rows["loc_key"].iloc[0], len(polygons), found["n_nodes"], found["n_edges"], kinds.count("virtual"), kinds.count("connection"), found["n_components"])], columns=["loc_key", "n_buildings", "n_nodes", "n_edges", "n_virtual", "n_connection", "n_components"])
 
-    return made_up_windows(spark, sf_dir).groupBy("loc_key").applyInPandas(run, "loc_key string, n_buildings long, n_nodes long, n_edges long, n_virtual long, n_connection long, n_components long")
+    return windows.dealt(made_up_windows(spark, sf_dir), "loc_key").groupBy("loc_key").applyInPandas(run, "loc_key string, n_buildings long, n_nodes long, n_edges long, n_virtual long, n_connection long, n_components long")
 
 
 @query("k10_overlay")

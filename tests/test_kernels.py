@@ -257,3 +257,12 @@ def test_overlay_windows_are_many_tasks(spark):
     from settlegrid.plans import kernel_queries
 
     assert kernel_queries.k10(spark, SF_DIR).select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+def test_networks_are_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from settlegrid.plans import kernel_queries
+
+    assert kernel_queries.n5(spark, SF_DIR).select(F.spark_partition_id().alias("task")).distinct().count() > 1
