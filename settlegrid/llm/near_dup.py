@@ -47,6 +47,8 @@ COLUMNS = 8192
 STARS = 2
 #: Bits of the id filter that is sent to all tasks: 8 MB at most, whatever the input.
 FILTER_BITS = 1 << 26
+#: Bits of one of Spark's bitmaps.
+BITMAP = 1 << 15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -132,14 +134,34 @@ def keep_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     join follows wherever this is used.
     """
     position = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
-    bits = ids.select(position("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    bits = materialize(bits, "filter")
-    bucket, held = fresh(docs, "bucket"), fresh(docs, "bits")
+    return _marked(docs, position(id_col), _bitmaps(ids, position("id")))
+
+
+def keep_rows(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose ``row`` is in ``chosen(row)``, exactly, and found without moving ``rows`` while bitmaps of ``FILTER_BITS`` hold them.
+
+    ``row`` counts up within each partition that numbered it, so there are as
+    many bitmaps of 32,768 numbers as rows and partitions need. Beyond the bound it is a filter and a join.
+    """
+    bits = _bitmaps(chosen, F.col("row") + 1)
+    if bits.count() * BITMAP <= FILTER_BITS:
+        return _marked(rows, F.col("row") + 1, bits)
+    return keep_ids(rows, "row", chosen.select(F.col("row").alias("id"))).join(chosen.select("row"), "row", "left_semi")
+
+
+def _bitmaps(ids: DataFrame, position: Column) -> DataFrame:
+    bits = ids.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    return materialize(bits, "filter")
+
+
+def _marked(rows: DataFrame, position: Column, bits: DataFrame) -> DataFrame:
+    """The rows whose ``position`` is set in ``bits``, which all tasks get."""
+    bucket, held = fresh(rows, "bucket"), fresh(rows, "bits")
     bits = bits.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(held))
-    rows = docs.join(F.broadcast(bits), F.bitmap_bucket_number(position(id_col)) == bits[bucket])
-    at = F.bitmap_bit_position(position(id_col))
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(position) == bits[bucket])
+    at = F.bitmap_bit_position(position)
     byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return rows.where(F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1).select(*docs.columns)
+    return found.where(F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1).select(*rows.columns)
 
 
 def block_links(group: pa.Table, percent: int) -> pa.Table:
@@ -210,7 +232,7 @@ class _Job:
 
     def groups(self) -> DataFrame:
         """``lead, row, met``: for every inverted list of two classes or more, its members by the class that meets most others."""
-        heads = self.some.select("row", "head", "n_shingles").join(self.classes.select("row"), "row", "left_semi")
+        heads = keep_rows(self.some.select("row", "head", "n_shingles"), self.classes.select("row"))
         runs = F.expr(f"transform(sequence(1, greatest(1, size(head) - {RUN - 1})), i -> xxhash64(slice(head, i, {RUN})))")
         singles = F.expr("transform(sequence(1, size(head)), i -> xxhash64(slice(head, i, 1)))")
         both = F.when(F.col("n_shingles") <= single_keyed(self.percent), F.concat(runs, singles)).otherwise(runs)
@@ -225,11 +247,12 @@ class _Job:
     def hold(self, groups: DataFrame) -> None:
         """``held``: sketches, and ``sets``: whole sets made anew from the texts, of the classes in ``groups``."""
         wanted = materialize(groups.select("row").distinct().join(self.classes, "row"), "wanted")
-        rows = keep_ids(self.some, "row", wanted.select(F.col("row").alias("id"))).join(wanted.select("row"), "row", "left_semi")
+        rows = keep_rows(self.some, wanted.select("row"))
         self.held = materialize(rows.select("row", F.col("n_shingles").alias("n"), F.concat("head", "tail").alias("sketch")), "held")
         docs = keep_ids(self.docs.select(self.id_col, self.text_col), self.id_col, wanted.select(F.col("min_id").alias("id")))
         sets = sketches(docs, self.id_col, self.text_col, width=self.width, full=True).select(F.col("doc_id").alias("min_id"), "cls", F.col("sketch").alias("shingles"))
-        sets = sets.join(wanted, ["min_id", "cls"]).dropDuplicates(["row"])
+        # One row a class, by the keys of the join: whole sets are not moved again.
+        sets = sets.join(wanted, ["min_id", "cls"]).dropDuplicates(["min_id", "cls"])
         self.sets = materialize(sets.select("row", "shingles"), "sets")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:

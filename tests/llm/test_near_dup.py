@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from brute import near_components
 from settlegrid.llm import near_dup
@@ -137,3 +138,35 @@ def test_text_ids_and_helper_names(spark):
     got = drop_near_duplicates(docs)
     assert got.columns == docs.columns and sorted(r._text_key for r in got.collect()) == [2, 3, 4]
     assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_chosen_rows_are_kept_exactly_with_and_beyond_the_bitmaps(spark, monkeypatch):
+    rows = spark.range(0, 70_000, 1, 3).select(F.monotonically_increasing_id().alias("row"), "id")
+    rows = near_dup.materialize(rows.unionByName(rows.select(F.lit(None).cast("long").alias("row"), "id").limit(2)), "rows")
+    chosen = near_dup.materialize(rows.where("id % 7 in (0, 3)").select("row").where("row is not null"), "chosen")
+    want = sorted(r.id for r in rows.where("row is not null and id % 7 in (0, 3)").collect())
+    kept = near_dup.keep_rows(rows, chosen)
+    assert kept.columns == rows.columns and sorted(r.id for r in kept.collect()) == want
+    assert not near_dup.keep_rows(rows, chosen.where("false")).count()
+    monkeypatch.setattr(near_dup, "FILTER_BITS", 1 << 16)
+    assert sorted(r.id for r in near_dup.keep_rows(rows, chosen).collect()) == want
+
+
+def test_sketches_stay_and_whole_sets_move_once(spark, monkeypatch):
+    plans, write = {}, near_dup.materialize
+
+    def watched(df, label, **options):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, **options)
+
+    monkeypatch.setattr(near_dup, "materialize", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = spark.createDataFrame([(i, " ".join(f"w{i // 3}x{k + (k > 60) * (i % 3)}" for k in range(90))) for i in range(60)], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i // 3 * 3 for i in range(60)}
+    moves = {label: plan.count("Exchange hashpartitioning") for label, plan in plans.items()}
+    assert (moves["lists"], moves["held"], moves["sets"]) == (1, 0, 2)
